@@ -218,63 +218,77 @@ def _unblob(blob: bytes, kinds: list[str]) -> list[np.ndarray]:
 
 
 def index(docs: DataFrame, width: int, percent: int, hot, buckets: int) -> DataFrame:
-    """Rows of two kinds: documents (kind 0: doc_id, n, id) and blobs of prefix tokens with points (kind 1: bucket, blob)."""
-    schema = "kind int, doc_id long, n long, id binary, bucket int, blob binary"
+    """Blobs by bucket: prefix tokens with sizes and points of their classes, and in buckets below 0 what documents there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = hot.value
         mask = np.uint64(len(flags) - 1)
         for batch, chunk in sets(batches, width):
             ids = [digest(s) if len(s) else None for s in chunk]
-            n = len(chunk)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * n, pa.int32()), batch.column(0), pa.array([len(s) for s in chunk], pa.int64()), pa.array(ids, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["kind", "doc_id", "n", "id", "bucket", "blob"]
-            )
+            doc = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8")
+            named = np.frombuffer(b"".join(i or bytes(16) for i in ids), "u1")
+            own = _blob(doc, np.array([len(s) for s in chunk], dtype="<i8"), named)
+            out_bucket, out_blob = [-1 - int(doc[0]) % buckets], [own]
             unique = list({i: s for i, s in zip(ids, chunk, strict=True) if i is not None}.items())
-            if not unique:
-                continue
-            p = points([s for _, s in unique]).astype("<u4")
-            sizes = np.array([len(s) for _, s in unique], dtype="<i4")
-            tokens, owners = [], []
-            for k, (_, s) in enumerate(unique):
-                m = prefix_length(len(s), percent)
-                common = flags[(s & mask).astype(np.int64)]
-                rare = s[~common][:m]
-                tokens.append(rare if len(rare) == m else np.concatenate([rare, s[common][: m - len(rare)]]))
-                owners.append(np.full(m, k, dtype="<i4"))
-            token, owner = np.concatenate(tokens), np.concatenate(owners)
-            bucket = (token % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            out_bucket, out_blob = [], []
-            for part in np.split(order, cuts):
-                who, inverse = np.unique(owner[part], return_inverse=True)
-                out_bucket.append(int(bucket[part[0]]))
-                out_blob.append(_blob(token[part].astype("<u8"), inverse.astype("<i4"), np.frombuffer(b"".join(unique[k][0] for k in who), "u1"), sizes[who], p[who]))
-            m = len(out_blob)
-            yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(out_bucket, pa.int32()), pa.array(out_blob, pa.binary())], ["kind", "doc_id", "n", "id", "bucket", "blob"])
-
-    return docs.mapInArrow(run, schema)
+            if unique:
+                p = points([s for _, s in unique])
+                key = np.frombuffer(b"".join(i[:8] for i, _ in unique), dtype=">i8").astype("<i8")
+                sizes = np.array([len(s) for _, s in unique], dtype="<i4")
+                tokens, owners = [], []
+                for k, (_, s) in enumerate(unique):
+                    m = prefix_length(len(s), percent)
+                    common = flags[(s & mask).astype(np.int64)]
+                    rare = s[~common][:m]
+                    tokens.append(rare if len(rare) == m else np.concatenate([rare, s[common][: m - len(rare)]]))
+                    owners.append(np.full(m, k, dtype="<i4"))
+                token, owner = np.concatenate(tokens), np.concatenate(owners)
+                bucket = (token % np.uint64(buckets)).astype(np.int64)
+                # 32 bits tell the tokens of a bucket apart well enough: a false match costs a look at its bound
+                short = ((token // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+                order = np.argsort(bucket, kind="stable")
+                for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                    who, inverse = np.unique(owner[part], return_inverse=True)
+                    flat = p[who]
+                    out_bucket.append(int(bucket[part[0]]))
+                    out_blob.append(_blob(short[part], inverse.astype("<u2"), key[who], sizes[who], flat.astype("u1" if flat.max() < 256 else "<u4")))
+            yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(out_blob, pa.binary())], ["bucket", "blob"])
+
+    return docs.mapInArrow(run, "bucket int, blob binary")
+
+
+FOUND = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("id", pa.binary()), ("u", pa.int64()), ("v", pa.int64())])
 
 
 def bucket_edges(percent: int):
-    """Spanning edges (u, v) of the pairs in one bucket whose bound holds."""
+    """Spanning edges (u, v) of the pairs in one bucket whose bound holds, by the first 64 bits of their classes' names; or the documents (doc_id, n, id) of a bucket below 0."""
+
+    def documents(blobs: list[bytes]) -> pa.Table:
+        parts = []
+        for blob in blobs:
+            doc, n, name = _unblob(blob, ["<i8", "<i8", "u1"])
+            raw = name.tobytes()
+            k = len(doc)
+            ids = pa.array([raw[16 * i : 16 * i + 16] if n[i] else None for i in range(k)], pa.binary())
+            parts.append(pa.table([pa.array(doc), pa.array(n), ids, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], schema=FOUND))
+        return pa.concat_tables(parts)
 
     def run(t: pa.Table) -> pa.Table:
-        tokens, owners, ids, sizes, p, base = [], [], [], [], [], 0
+        if t.column("bucket")[0].as_py() < 0:
+            return documents(t.column("blob").to_pylist())
+        tokens, owners, keys, sizes, p, base = [], [], [], [], [], 0
         for blob in t.column("blob").to_pylist():
-            tok, own, name, size, flat = _unblob(blob, ["<u8", "<i4", "u1", "<i4", "<u4"])
+            tok, own, name, size, flat = _unblob(blob, ["<u4", "<u2", "<i8", "<i4", "u1"])
+            if len(flat) != GROUPS * len(size):
+                flat = flat.view("<u4")
             tokens.append(tok)
             owners.append(own.astype(np.int64) + base)
-            ids.append(name.reshape(-1, 16))
+            keys.append(name)
             sizes.append(size)
-            p.append(flat.reshape(-1, GROUPS))
+            p.append(flat.reshape(-1, GROUPS).astype(np.int32))
             base += len(size)
-        names = np.ascontiguousarray(np.concatenate(ids)).view("V16").ravel()
-        _, first, same = np.unique(names, return_index=True, return_inverse=True)
-        token, owner = np.concatenate(tokens), same.ravel()[np.concatenate(owners)]
-        size, points_ = np.concatenate(sizes)[first].astype(np.int64), np.concatenate(p)[first].astype(np.int32)
-        token, owner = _unique(token, owner)
+        names, first, same = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        size, points_ = np.concatenate(sizes)[first].astype(np.int64), np.concatenate(p)[first]
+        token, owner = _unique(np.concatenate(tokens), same.ravel()[np.concatenate(owners)])
         forest = Forest(len(first))
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         lengths = np.diff(np.concatenate([starts, [len(token)]]))
@@ -295,16 +309,13 @@ def bucket_edges(percent: int):
                     forest.join(int(x[k]), int(y[k]))
         for k in np.flatnonzero(lengths > LEAF):
             connect(owner[starts[k] : starts[k] + lengths[k]], points_, size, forest, percent)
-        raw = [names[k].tobytes() for k in first]
-        least: dict[int, bytes] = {}
-        touched = sorted({x for e in forest.edges for x in e})
-        for x in touched:
-            r = forest.find(x)
-            if r not in least or raw[x] < least[r]:
-                least[r] = raw[x]
-        u = [raw[x] for x in touched if raw[x] != least[forest.find(x)]]
-        v = [least[forest.find(x)] for x in touched if raw[x] != least[forest.find(x)]]
-        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+        touched = np.array(sorted({x for e in forest.edges for x in e}), dtype=np.int64)
+        # names are sorted and a forest's root is its least member
+        v = names[forest.roots(touched)] if len(touched) else names[:0]
+        u = names[touched] if len(touched) else names[:0]
+        u, v = u[u != v], v[u != v]
+        k = len(u)
+        return pa.table([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(u), pa.array(v)], schema=FOUND)
 
     return run
 
@@ -350,14 +361,16 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     bits = min(22, max(16, math.ceil(math.log2(max(size, 1) / 512))))
     buckets = max(64, min(1 << 20, size >> 21))
     hot = spark.sparkContext.broadcast(hot_tokens(docs, width, percent, bits))
-    indexed = shared.table(index(docs, width, percent, hot, buckets), "index")
+    indexed = index(docs, width, percent, hot, buckets).groupBy("bucket").applyInArrow(bucket_edges(percent), "doc_id long, n long, id binary, u long, v long")
+    indexed = shared.table(indexed, "index")
     hot.unpersist()
-    rows = indexed.filter("kind = 0").select("doc_id", "n", "id")
-    edges = indexed.filter("kind = 1").select("bucket", "blob").groupBy("bucket").applyInArrow(bucket_edges(percent), "u binary, v binary")
-    candidates = C.components(edges)
+    rows = indexed.filter("u is null").select("doc_id", "n", "id")
+    candidates = C.components(indexed.filter("u is not null").select("u", "v"))
     least = rows.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("least"))
     blocks = candidates.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    wanted = candidates.join(blocks, "root").join(least, candidates["node"] == least["id"]).select(F.col("least").alias("doc_id"), F.col("node").alias("want"), "root", "blocks")
+    # the first 8 bytes of the name, big-endian; two classes that share them both come along
+    key = F.conv(F.hex(F.substring("id", 1, 8)), 16, -10).cast("long")
+    wanted = candidates.join(blocks, "root").join(least.withColumn("key", key), F.col("node") == F.col("key")).select(F.col("least").alias("doc_id"), F.col("id").alias("want"), "root", "blocks")
     wanted = shared.table(wanted, "candidates")
     small = wanted.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
     texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select("want", "root", "blocks", "text")
@@ -369,7 +382,7 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
             took = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([took.column(0), took.column(1), took.column(2), pa.array([chunk[k].astype("<u8").tobytes() for k in keep], pa.binary())], ["id", "root", "blocks", "tokens"])
 
-    parts = texts.mapInArrow(whole, "id binary, root binary, blocks int, tokens binary")
+    parts = texts.mapInArrow(whole, "id binary, root long, blocks int, tokens binary")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     parts = parts.withColumn("b", mine).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), "id", "tokens")
     linked = C.components(parts.groupBy("root", "i", "j").applyInArrow(block_edges(percent), "u binary, v binary"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, nearjoin, packing, quality, secrets, shared
+from . import decontaminate, nearjoin, packing, quality, secrets, shared, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.listing(base), 256).alias("base_sha256"), secrets.listing(F.col("secrets")).alias("spans"))
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.kept_words(substring.repeated(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.classes(_table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op1_pack, op3_secrets, op7_near, op9_decontaminate, op10_quality)}
+    return {f.__name__: _shipped(f) for f in (op1_pack, op3_secrets, op5_substring, op7_near, op9_decontaminate, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,7 +15,7 @@ CHUNK_BYTES = 4 << 20
 class Fingerprints(dict):
     """word -> 64-bit fingerprint; keeps at most `limit` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
