@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trestle.llm import decontaminate, nearjoin, packing, quality, secrets, shared
+from trestle.llm import decontaminate, nearjoin, packing, quality, secretscan, shared
 from trestle.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -40,8 +40,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark."""
-    found = secrets.scan(docs)
-    text = secrets.redacted(F.col("text"), F.col("secrets"))
+    found = secretscan.scan(docs)
+    text = secretscan.redacted(F.col("text"), F.col("secrets"))
     return found.select("doc_id", text.alias("text"), "lang", "source", F.when(F.size("secrets") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 

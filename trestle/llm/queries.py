@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, nearjoin, packing, quality, secrets, shared, substring
+from . import decontaminate, language, nearjoin, packing, pages, quality, quotations, secretscan, shared, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +25,30 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "cost")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.train(docs.filter(~language.held_out()))
+    out = language.predict(docs, model)
+    return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "range", "rank")
+
+
+def op8_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.link(_table(spark, sf_dir, "conversations"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
+    found = secretscan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
     count = lambda rank: F.size(F.filter("secrets", lambda s: s["rank"] == rank)).cast("long")
     base = F.filter("secrets", lambda s: s["rank"] < 3)
-    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.listing(base), 256).alias("base_sha256"), secrets.listing(F.col("secrets")).alias("spans"))
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secretscan.listing(base), 256).alias("base_sha256"), secretscan.listing(F.col("secrets")).alias("spans"))
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +80,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op1_pack, op3_secrets, op5_substring, op7_near, op9_decontaminate, op10_quality)}
+    return {f.__name__: _shipped(f) for f in (op1_pack, op2_language, op3_secrets, op4_html, op5_substring, op6_warc, op7_near, op8_quotations, op9_decontaminate, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
