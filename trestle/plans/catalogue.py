@@ -1,11 +1,133 @@
-"""The registered queries of the pipeline language."""
+"""The registered queries of the pipeline language and their SQL."""
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import groups, zonemap
+from ..sources import catalog, ingest
+from . import planner
+
+USERS_SQL = "(SELECT c_custkey AS id, c_name AS name, CAST(c_nationkey AS BIGINT) AS age FROM customer)"
+ORDERS_SQL = "(SELECT o_custkey AS id, CAST(floor(o_totalprice) AS BIGINT) AS price, o_orderkey FROM orders)"
+
+#: name -> (pipeline, SQL)
+PIPELINES: dict[str, tuple[str, str]] = {
+    "scan_project": ("இருந்து orders | தேடு o_orderkey, o_custkey", "SELECT o_orderkey, o_custkey FROM orders"),
+    "filter_gt": ("இருந்து events | வடி user_id > 100 | தேடு event_id, user_id", "SELECT event_id, user_id FROM events WHERE user_id > 100"),
+    "filter_lt": ("இருந்து events | வடி user_id < 100 | தேடு event_id, user_id", "SELECT event_id, user_id FROM events WHERE user_id < 100"),
+    "filter_eq": ("இருந்து events | வடி user_id = 7 | தேடு event_id, user_id", "SELECT event_id, user_id FROM events WHERE user_id = 7"),
+    "filter_conj": ("இருந்து events | வடி user_id > 50 | வடி event_id < 5000 | தேடு event_id, user_id", "SELECT event_id, user_id FROM events WHERE user_id > 50 AND event_id < 5000"),
+    "project_duplicate": ("இருந்து part | வடி p_size > 40 | தேடு p_name, p_size, p_partkey", "SELECT p_name, CAST(p_size AS BIGINT) AS p_size, p_partkey FROM part WHERE p_size > 40"),
+    "sort_take": ("இருந்து orders | அடுக்கு o_custkey | எடு 10 | தேடு o_custkey, o_orderkey", "SELECT o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_orderkey LIMIT 10"),
+    "demo_pipeline": ("இருந்து பயனர்கள் | வடி வயது > 21 | அடுக்கு வயது | எடு 10 | தேடு பெயர், வயது;", f'SELECT name AS "பெயர்", age AS "வயது" FROM {USERS_SQL} WHERE age > 21 ORDER BY age, id LIMIT 10'),
+    "take_unsorted": ("இருந்து orders | எடு 25 | தேடு o_orderkey", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 25"),
+    "take_zero": ("இருந்து orders | எடு 0 | தேடு o_orderkey", "SELECT o_orderkey FROM orders LIMIT 0"),
+    "take_then_filter": ("இருந்து orders | எடு 100 | வடி o_custkey > 500 | தேடு o_orderkey, o_custkey", "SELECT o_orderkey, o_custkey FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 100) WHERE o_custkey > 500"),
+    "sort_then_filter": ("இருந்து orders | அடுக்கு o_custkey | வடி o_orderkey > 100 | எடு 20 | தேடு o_orderkey, o_custkey", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 100 ORDER BY o_custkey, o_orderkey LIMIT 20"),
+    "join_inner": ("இருந்து பயனர்கள் | இணை ஆர்டர்கள் | தேடு பெயர், விலை", f'SELECT name AS "பெயர்", price AS "விலை" FROM {USERS_SQL} JOIN {ORDERS_SQL} USING (id)'),
+    "join_filter_left": ("இருந்து பயனர்கள் | இணை ஆர்டர்கள் | வடி வயது > 21 | தேடு பெயர், விலை", f'SELECT name AS "பெயர்", price AS "விலை" FROM {USERS_SQL} JOIN {ORDERS_SQL} USING (id) WHERE age > 21'),
+    "join_filter_right": ("இருந்து பயனர்கள் | இணை ஆர்டர்கள் | வடி விலை > 200000 | தேடு பெயர், விலை", f'SELECT name AS "பெயர்", price AS "விலை" FROM {USERS_SQL} JOIN {ORDERS_SQL} USING (id) WHERE price > 200000'),
+    "join_on": ("இருந்து orders | இணை lineitem எங்கே o_orderkey = l_orderkey | தேடு o_custkey, l_partkey", "SELECT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey"),
+    "join_double": ("இருந்து பயனர்கள் | இணை ஆர்டர்கள் | இணை பயனர்கள் | தேடு விலை, பெயர்", f'SELECT price AS "விலை", u.name AS "பெயர்" FROM {USERS_SQL} u JOIN {ORDERS_SQL} o ON u.id = o.id JOIN {USERS_SQL} v ON u.id = v.id'),
+    "join_disjoint": ("இருந்து nation | இணை orders எங்கே n_nationkey = o_orderkey | வடி o_orderkey > 1000 | தேடு n_name, o_orderkey", "SELECT n_name, o_orderkey FROM nation JOIN orders ON n_nationkey = o_orderkey WHERE o_orderkey > 1000"),
+    "derive_mul": ("இருந்து part | கணி x = p_size * 2 | தேடு p_partkey, x", "SELECT p_partkey, CAST(p_size AS BIGINT) * 2 AS x FROM part"),
+    "derive_lit_sub": ("இருந்து part | கணி x = 100 - p_size | தேடு p_partkey, x", "SELECT p_partkey, 100 - CAST(p_size AS BIGINT) AS x FROM part"),
+    "derive_col_col": ("இருந்து events | கணி x = event_id + user_id | தேடு event_id, x", "SELECT event_id, event_id + user_id AS x FROM events"),
+    "derive_copy": ("இருந்து events | கணி x = user_id | தேடு x", "SELECT user_id AS x FROM events"),
+    "derive_literal": ("இருந்து nation | கணி x = 2 + 3 | தேடு n_name, x", "SELECT n_name, CAST(5 AS BIGINT) AS x FROM nation"),
+    "derive_chain": ("இருந்து events | கணி x = user_id * 3 | கணி y = x - event_id | வடி y > 0 | தேடு event_id, x, y", "SELECT event_id, user_id * 3 AS x, user_id * 3 - event_id AS y FROM events WHERE user_id * 3 - event_id > 0"),
+    "derive_filter_implicit": ("இருந்து பயனர்கள் | இணை ஆர்டர்கள் | கணி புதிய_விலை = விலை * 2 | வடி புதிய_விலை > 200", f'SELECT price * 2 AS "புதிய_விலை" FROM {USERS_SQL} JOIN {ORDERS_SQL} USING (id) WHERE price * 2 > 200'),
+    "derive_join": ("இருந்து பயனர்கள் | கணி x = வயது * 10 | இணை ஆர்டர்கள் | தேடு x, விலை", f'SELECT age * 10 AS x, price AS "விலை" FROM {USERS_SQL} JOIN {ORDERS_SQL} USING (id)'),
+    "group_keys": ("இருந்து orders | தொகுப்பு o_custkey | தேடு o_custkey", "SELECT DISTINCT o_custkey FROM orders"),
+    "group_count": ("இருந்து orders | தொகுப்பு o_custkey | தேடு o_custkey, எண்ணிக்கை", 'SELECT o_custkey, count(*) AS "எண்ணிக்கை" FROM orders GROUP BY 1'),
+    "group_having": ("இருந்து orders | தொகுப்பு o_custkey | வடி எண்ணிக்கை > 10 | தேடு o_custkey, எண்ணிக்கை", 'SELECT o_custkey, count(*) AS "எண்ணிக்கை" FROM orders GROUP BY 1 HAVING count(*) > 10'),
+    "group_representative": ("இருந்து orders | தொகுப்பு o_custkey | தேடு o_custkey, o_orderkey", "SELECT o_custkey, arg_min(o_orderkey, o_orderkey) AS o_orderkey FROM orders GROUP BY 1"),
+    "group_sum": ("இருந்து orders | தொகுப்பு o_custkey | சுருக்கு o_orderkey | தேடு o_custkey, o_orderkey, எண்ணிக்கை", 'SELECT o_custkey, CAST(sum(o_orderkey) AS BIGINT) AS o_orderkey, count(*) AS "எண்ணிக்கை" FROM orders GROUP BY 1'),
+    "group_derive": ("இருந்து orders | தொகுப்பு o_custkey | கணி x = எண்ணிக்கை * 100 | தேடு o_custkey, x", "SELECT o_custkey, count(*) * 100 AS x FROM orders GROUP BY 1"),
+    "group_sort_take": ("இருந்து orders | தொகுப்பு o_custkey | அடுக்கு எண்ணிக்கை | எடு 7 | தேடு o_custkey, எண்ணிக்கை", 'SELECT o_custkey, count(*) AS "எண்ணிக்கை" FROM orders GROUP BY 1 ORDER BY 2, 1 LIMIT 7'),
+    "group_join": ("இருந்து orders | தொகுப்பு o_custkey | இணை customer எங்கே o_custkey = c_custkey | தேடு c_name, எண்ணிக்கை", 'SELECT c_name, n AS "எண்ணிக்கை" FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) JOIN customer ON o_custkey = c_custkey'),
+    "global_sum": ("இருந்து orders | வடி o_custkey > 100 | சுருக்கு o_orderkey", "SELECT CAST(coalesce(sum(o_orderkey), 0) AS BIGINT) AS o_orderkey FROM orders WHERE o_custkey > 100"),
+    "project_then_filter": ("இருந்து orders | தேடு o_orderkey | வடி o_custkey > 500", "SELECT o_orderkey FROM orders WHERE o_custkey > 500"),
+    "restart_source": ("இருந்து orders | எடு 3 | இருந்து nation | தேடு n_name", "SELECT n_name FROM nation"),
+}
+
+ZONES_SQL = "SELECT CAST((row_number() OVER (ORDER BY event_id) - 1) // 512 AS BIGINT) AS page_index, user_id, event_id FROM events"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def zonemap_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zonemap.build(_events(spark, sf_dir), "user_id").drop("file")
+
+
+def zonemap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _events(spark, sf_dir)
+    return zonemap.filter_pages(events, "event_id", ">", 9000, zonemap.build(events, "event_id"), ["user_id"]).rows
+
+
+def zonemap_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _events(spark, sf_dir)
+    return zonemap.filter_pages(events, "event_id", ">", 9000, zonemap.build(events, "event_id")).stats
+
+
+def zonemap_stats_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _events(spark, sf_dir)
+    return zonemap.filter_pages(events, "user_id", "=", 7, zonemap.build(events, "user_id")).stats
+
+
+def page_stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zonemap.filter_stream(_events(spark, sf_dir), "user_id", 21, 2)
+
+
+def page_table_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zonemap.table_filter_project(_events(spark, sf_dir), "user_id", 21, "event_id", 1000)
+
+
+def group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.group_stats(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_custkey")
+
+
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nation table as CSV, ingested again."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="trestle-csv-")
+    base = f"{folder.rstrip('/')}/trestle-csv/{spark.sparkContext.applicationId}"
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
+    nation.coalesce(1).write.mode("overwrite").option("header", "true").csv(f"{base}/csv")
+    ingest.ingest_csv(spark, f"{base}/csv", "n_nationkey:i64,n_name:utf8", f"{base}/parquet")
+    return spark.read.parquet(f"{base}/parquet")
+
+
+def columnar_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.columnar_demo(spark, 10_000).filter(F.col("ages") > 21)
+
+
+OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "zonemap_build": (zonemap_build, f"SELECT page_index, count(*) AS row_count, min(user_id) AS min, max(user_id) AS max FROM ({ZONES_SQL}) GROUP BY 1"),
+    "zonemap_filter": (zonemap_filter, "SELECT event_id, user_id FROM events WHERE event_id > 9000"),
+    "zonemap_stats": (zonemap_stats, f"WITH z AS (SELECT page_index, count(*) AS n, max(event_id) AS hi, count(*) FILTER (event_id > 9000) AS k FROM ({ZONES_SQL}) GROUP BY 1) SELECT count(*) AS pages_total, count(*) FILTER (hi <= 9000) AS pages_skipped, count(*) FILTER (hi > 9000) AS pages_scanned, CAST(coalesce(sum(n) FILTER (hi > 9000), 0) AS BIGINT) AS rows_scanned, CAST(coalesce(sum(k), 0) AS BIGINT) AS rows_kept FROM z"),
+    "zonemap_stats_random": (zonemap_stats_random, f"WITH z AS (SELECT page_index, count(*) AS n, min(user_id) AS lo, max(user_id) AS hi, count(*) FILTER (user_id = 7) AS k FROM ({ZONES_SQL}) GROUP BY 1) SELECT count(*) AS pages_total, count(*) FILTER (NOT (lo <= 7 AND hi >= 7)) AS pages_skipped, count(*) FILTER (lo <= 7 AND hi >= 7) AS pages_scanned, CAST(coalesce(sum(n) FILTER (lo <= 7 AND hi >= 7), 0) AS BIGINT) AS rows_scanned, CAST(coalesce(sum(k), 0) AS BIGINT) AS rows_kept FROM z"),
+    "page_stream_stats": (page_stream_stats, f"SELECT count(DISTINCT page_index) AS pages, count(*) AS row_count, count(*) FILTER (user_id > 21) AS rows_kept, CAST(coalesce(sum(user_id * 2) FILTER (user_id > 21), 0) AS BIGINT) AS products FROM ({ZONES_SQL})"),
+    "page_table_stream": (page_table_stream, "SELECT event_id FROM events WHERE user_id > 21 ORDER BY event_id LIMIT 1000"),
+    "group_stats": (group_stats, 'SELECT o_custkey AS key, count(*) AS count, CAST(sum(o_custkey) AS BIGINT) AS sum, min(o_custkey) AS min, max(o_custkey) AS max FROM orders GROUP BY 1'),
+    "csv_roundtrip": (csv_roundtrip, "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation"),
+    "columnar_demo": (columnar_demo, "SELECT i % 16 AS user_ids, 18 + i % 40 AS ages, 100 + 3 * i AS prices FROM range(10000) t(i) WHERE 18 + i % 40 > 21"),
+}
+
+
+def _run(pipeline: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: planner.run(spark, catalog.test_tables(spark, sf_dir), pipeline)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _run(pipeline) for name, (pipeline, _) in PIPELINES.items()} | {name: f for name, (f, _) in OTHERS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in (PIPELINES | OTHERS).items()}
