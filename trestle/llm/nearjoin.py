@@ -35,7 +35,7 @@ from . import components as C
 from . import shared
 from . import words as W
 
-GROUPS = 32
+GROUPS = 128
 LEAF = 32
 #: A candidate component of more classes is dealt into blocks of about so many.
 BLOCK = 20_000
@@ -73,11 +73,18 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def points(all_sets: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(all_sets), GROUPS), dtype=np.int32)
+def points(all_sets: list[np.ndarray], groups: int = GROUPS) -> np.ndarray:
+    """Counts of each set's tokens by group; bytes if they fit."""
+    most = max((len(s) for s in all_sets), default=0)
+    out = np.zeros((len(all_sets), groups), dtype=np.uint32 if most > 65535 else np.uint16)
     for i, s in enumerate(all_sets):
-        out[i] = np.bincount((s >> np.uint64(40)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS)
-    return out
+        out[i] = np.bincount((s >> np.uint64(40)).astype(np.int64) & (groups - 1), minlength=groups)
+    return out.astype(np.uint8) if len(out) and out.max() < 256 else out
+
+
+def fine_groups(most: int) -> int:
+    """Groups for whole sets of up to `most` tokens: about two tokens each, so that the bound is close to the overlap."""
+    return min(4096, max(GROUPS, 1 << max(0, most // 2 - 1).bit_length()))
 
 
 class Forest:
@@ -123,9 +130,10 @@ class RTree:
             if len(idx) <= LEAF:
                 leaves.append(idx)
                 continue
-            own = np.column_stack([p[idx], size[idx]])
-            dim = int((own.max(axis=0) - own.min(axis=0)).argmax())
-            order = np.argsort(own[:, dim], kind="stable")
+            own, sizes = p[idx], size[idx]
+            spread = own.max(axis=0) - own.min(axis=0)
+            dim = int(spread.argmax())
+            order = np.argsort(sizes if sizes.max() - sizes.min() > spread[dim] else own[:, dim], kind="stable")
             half = len(idx) // 2
             stack += [idx[order[:half]], idx[order[half:]]]
         self.leaves = leaves
@@ -141,13 +149,13 @@ class RTree:
 
     def near(self, q: int, forest: Forest, mine: int) -> Iterator[np.ndarray]:
         """Points that may be linked with point q and are not connected with it, leaf by leaf, the likeliest leaf first."""
-        bound = np.minimum(self.high, self.p[q]).sum(axis=1)
+        bound = np.minimum(self.high, self.p[q]).sum(axis=1, dtype=np.int64)
         open_ = np.flatnonzero(self.reach(bound, int(self.size[q]), self.least))
         for k in open_[np.argsort(-bound[open_], kind="stable")]:
             idx = self.leaves[k]
             idx = idx[forest.roots(idx) != forest.find(mine)]
             if len(idx):
-                over = np.minimum(self.p[idx], self.p[q]).sum(axis=1)
+                over = np.minimum(self.p[idx], self.p[q]).sum(axis=1, dtype=np.int64)
                 yes = self.reach(over, int(self.size[q]), self.size[idx])
                 if yes.any():
                     yield idx[yes][np.argsort(-over[yes], kind="stable")]
@@ -304,7 +312,7 @@ def bucket_edges(percent: int):
             a, b = key >> 32, key & 0xFFFFFFFF
             for at in range(0, len(a), 100_000):
                 x, y = a[at : at + 100_000], b[at : at + 100_000]
-                over = np.minimum(points_[x], points_[y]).sum(axis=1)
+                over = np.minimum(points_[x], points_[y]).sum(axis=1, dtype=np.int64)
                 for k in np.flatnonzero((100 + percent) * over >= percent * (size[x] + size[y])):
                     forest.join(int(x[k]), int(y[k]))
         for k in np.flatnonzero(lengths > LEAF):
@@ -342,7 +350,7 @@ def block_edges(percent: int):
             return (100 + percent) * both >= percent * (size[i] + size[j])
 
         if len(raw) > 1:
-            connect(np.arange(len(raw)), points(own), size, forest, percent, verify)
+            connect(np.arange(len(raw)), points(own, fine_groups(int(size.max()))), size, forest, percent, verify)
         return pa.table({"u": pa.array([raw[i] for i, _ in forest.edges], pa.binary()), "v": pa.array([raw[j] for _, j in forest.edges], pa.binary())})
 
     return run
