@@ -7,9 +7,10 @@ linked only if 185 * sum >= 85 * (a + b) for sizes a, b (at 85 per cent). An R-t
 of its points, with which the same sum bounds every pair below it.
 
 1. A sketch counts the tokens that prefixes could hold, over all documents, to order common tokens last.
-2. Sets that are linked share a token among the first n - ceil(t n) + 1 of their ordered tokens. Each class goes with its
-   point to the buckets of these tokens; per token, the R-tree finds the pairs whose bound holds. A bucket gives the edges of a
-   spanning forest, not pairs.
+2. Sets that are linked share a token among the first n - ceil(t n) + 1 of their ordered tokens. Each class goes by name
+   to the buckets of these tokens; tokens of one class end there. What is left are sets of classes that hold a token, each set once
+   however many tokens have it. Points join these sets, and the R-tree finds the pairs whose bound holds. The result is the
+   edges of a spanning forest, not pairs.
 3. Classes connected by such edges meet once with their whole sets; the R-tree finds pairs again, skips nodes
    whose points are already connected with the query, and the surviving pairs are verified by intersection.
    Large candidate components are dealt into blocks that meet pairwise.
@@ -226,7 +227,7 @@ def _unblob(blob: bytes, kinds: list[str]) -> list[np.ndarray]:
 
 
 def index(docs: DataFrame, width: int, percent: int, hot, buckets: int) -> DataFrame:
-    """Blobs by bucket: prefix tokens with sizes and points of their classes, and in buckets below 0 what documents there are."""
+    """Blobs by bucket: prefix tokens with their classes, and in buckets below 0 what documents and points there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = hot.value
@@ -235,15 +236,19 @@ def index(docs: DataFrame, width: int, percent: int, hot, buckets: int) -> DataF
             ids = [digest(s) if len(s) else None for s in chunk]
             doc = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8")
             named = np.frombuffer(b"".join(i or bytes(16) for i in ids), "u1")
-            own = _blob(doc, np.array([len(s) for s in chunk], dtype="<i8"), named)
+            first: dict[bytes, int] = {}
+            for k, i in enumerate(ids):
+                if i is not None:
+                    first.setdefault(i, k)
+            places = np.fromiter(first.values(), dtype="<i4", count=len(first))
+            unique = [chunk[k] for k in places]
+            p = points(unique)
+            own = _blob(doc, np.array([len(s) for s in chunk], dtype="<i8"), named, places, p.astype("u1" if p.dtype == np.uint8 else "<u4"))
             out_bucket, out_blob = [-1 - int(doc[0]) % buckets], [own]
-            unique = list({i: s for i, s in zip(ids, chunk, strict=True) if i is not None}.items())
             if unique:
-                p = points([s for _, s in unique])
-                key = np.frombuffer(b"".join(i[:8] for i, _ in unique), dtype=">i8").astype("<i8")
-                sizes = np.array([len(s) for _, s in unique], dtype="<i4")
+                key = np.frombuffer(b"".join(i[:8] for i in first), dtype=">i8").astype("<i8")
                 tokens, owners = [], []
-                for k, (_, s) in enumerate(unique):
+                for k, s in enumerate(unique):
                     m = prefix_length(len(s), percent)
                     common = flags[(s & mask).astype(np.int64)]
                     rare = s[~common][:m]
@@ -256,50 +261,78 @@ def index(docs: DataFrame, width: int, percent: int, hot, buckets: int) -> DataF
                 order = np.argsort(bucket, kind="stable")
                 for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
                     who, inverse = np.unique(owner[part], return_inverse=True)
-                    flat = p[who]
                     out_bucket.append(int(bucket[part[0]]))
-                    out_blob.append(_blob(short[part], inverse.astype("<u2"), key[who], sizes[who], flat.astype("u1" if flat.max() < 256 else "<u4")))
+                    out_blob.append(_blob(short[part], inverse.astype("<u4"), key[who]))
             yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(out_blob, pa.binary())], ["bucket", "blob"])
 
     return docs.mapInArrow(run, "bucket int, blob binary")
 
 
-FOUND = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("id", pa.binary()), ("u", pa.int64()), ("v", pa.int64())])
+FOUND = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("id", pa.binary()), ("key", pa.int64()), ("point", pa.binary()), ("holders", pa.int64())])
 
 
-def bucket_edges(percent: int):
-    """Spanning edges (u, v) of the pairs in one bucket whose bound holds, by the first 64 bits of their classes' names; or the documents (doc_id, n, id) of a bucket below 0."""
+def _raw(values: np.ndarray, width: int) -> list[bytes]:
+    raw = values.tobytes()
+    return [raw[at : at + width] for at in range(0, len(raw), width)]
 
-    def documents(blobs: list[bytes]) -> pa.Table:
+
+def holders(t: pa.Table) -> pa.Table:
+    """Tokens that at least two classes hold, as (holders, key): a number of the token's set of classes, and each of them.
+
+    A bucket below 0 gives its documents (doc_id, n, id), with key and point at one document of each class and chunk.
+    Near copies share many tokens, and these have few different sets of holders; points needn't come along for each token.
+    """
+    blobs = t.column("blob").to_pylist()
+    if t.column("bucket")[0].as_py() < 0:
         parts = []
         for blob in blobs:
-            doc, n, name = _unblob(blob, ["<i8", "<i8", "u1"])
-            raw = name.tobytes()
+            doc, n, name, places, flat = _unblob(blob, ["<i8", "<i8", "u1", "<i4", "u1"])
+            names = _raw(name, 16)
             k = len(doc)
-            ids = pa.array([raw[16 * i : 16 * i + 16] if n[i] else None for i in range(k)], pa.binary())
-            parts.append(pa.table([pa.array(doc), pa.array(n), ids, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], schema=FOUND))
+            key, point = np.zeros(k, dtype="<i8"), [None] * k
+            for at, row in zip(places, _raw(flat, len(flat) // max(1, len(places))) if len(places) else [], strict=True):
+                key[at], point[at] = int.from_bytes(names[at][:8], "big", signed=True), row
+            ids = pa.array([x if n[i] else None for i, x in enumerate(names)], pa.binary())
+            parts.append(pa.table([pa.array(doc), pa.array(n), ids, pa.array(key, mask=np.array([x is None for x in point])), pa.array(point, pa.binary()), pa.nulls(k, pa.int64())], schema=FOUND))
         return pa.concat_tables(parts)
+    tokens, owners, keys, base = [], [], [], 0
+    for blob in blobs:
+        tok, own, key = _unblob(blob, ["<u4", "<u4", "<i8"])
+        tokens.append(tok)
+        owners.append(own.astype(np.int64) + base)
+        keys.append(key)
+        base += len(key)
+    names, same = np.unique(np.concatenate(keys), return_inverse=True)
+    token, owner = _unique(np.concatenate(tokens), same.ravel()[np.concatenate(owners)])
+    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    lengths = np.diff(np.concatenate([starts, [len(token)]]))
+    groups, members = [np.empty(0, dtype=np.int64)], [names[:0]]
+    seen = set()
+    for k in np.flatnonzero(lengths > 1):
+        of = names[owner[starts[k] : starts[k] + lengths[k]]]
+        number = xxhash.xxh3_64_intdigest(of.tobytes())
+        if number not in seen:
+            seen.add(number)
+            groups.append(np.full(len(of), np.uint64(number)).astype(np.int64))
+            members.append(of)
+    group, member = np.concatenate(groups), np.concatenate(members)
+    k = len(group)
+    return pa.table([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(member), pa.nulls(k, pa.binary()), pa.array(group)], schema=FOUND)
+
+
+def holder_edges(percent: int):
+    """Spanning edges (u, v) of the pairs of holders whose bound holds, by the first 64 bits of their classes' names."""
 
     def run(t: pa.Table) -> pa.Table:
-        if t.column("bucket")[0].as_py() < 0:
-            return documents(t.column("blob").to_pylist())
-        tokens, owners, keys, sizes, p, base = [], [], [], [], [], 0
-        for blob in t.column("blob").to_pylist():
-            tok, own, name, size, flat = _unblob(blob, ["<u4", "<u2", "<i8", "<i4", "u1"])
-            if len(flat) != GROUPS * len(size):
-                flat = flat.view("<u4")
-            tokens.append(tok)
-            owners.append(own.astype(np.int64) + base)
-            keys.append(name)
-            sizes.append(size)
-            p.append(flat.reshape(-1, GROUPS).astype(np.int32))
-            base += len(size)
-        names, first, same = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        size, points_ = np.concatenate(sizes)[first].astype(np.int64), np.concatenate(p)[first]
-        token, owner = _unique(np.concatenate(tokens), same.ravel()[np.concatenate(owners)])
+        keys = t.column("key").to_numpy()
+        names, first, who = np.unique(keys, return_index=True, return_inverse=True)
+        size = t.column("n").to_numpy()[first].astype(np.int64)
+        raw = t.column("point").take(pa.array(first)).to_pylist()
+        points_ = np.array([np.frombuffer(x, "u1" if len(x) == GROUPS else "<u4").astype(np.int32) for x in raw]).reshape(-1, GROUPS)
+        group, owner = _unique(t.column("holders").to_numpy(), who.ravel())
         forest = Forest(len(first))
-        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        lengths = np.diff(np.concatenate([starts, [len(token)]]))
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        lengths = np.diff(np.concatenate([starts, [len(group)]]))
         left, right = [], []
         for length in np.unique(lengths[(lengths > 1) & (lengths <= LEAF)]):
             rows = owner[starts[lengths == length][:, None] + np.arange(length)]
@@ -321,9 +354,7 @@ def bucket_edges(percent: int):
         # names are sorted and a forest's root is its least member
         v = names[forest.roots(touched)] if len(touched) else names[:0]
         u = names[touched] if len(touched) else names[:0]
-        u, v = u[u != v], v[u != v]
-        k = len(u)
-        return pa.table([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(u), pa.array(v)], schema=FOUND)
+        return pa.table({"u": pa.array(u[u != v], pa.int64()), "v": pa.array(v[u != v], pa.int64())})
 
     return run
 
@@ -369,11 +400,15 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     bits = min(22, max(16, math.ceil(math.log2(max(size, 1) / 512))))
     buckets = max(64, min(1 << 20, size >> 21))
     hot = spark.sparkContext.broadcast(hot_tokens(docs, width, percent, bits))
-    indexed = index(docs, width, percent, hot, buckets).groupBy("bucket").applyInArrow(bucket_edges(percent), "doc_id long, n long, id binary, u long, v long")
+    indexed = index(docs, width, percent, hot, buckets).groupBy("bucket").applyInArrow(holders, "doc_id long, n long, id binary, key long, point binary, holders long")
     indexed = shared.table(indexed, "index")
     hot.unpersist()
-    rows = indexed.filter("u is null").select("doc_id", "n", "id")
-    candidates = C.components(indexed.filter("u is not null").select("u", "v"))
+    rows = indexed.filter("holders is null").select("doc_id", "n", "id")
+    held = indexed.filter("holders is not null").select("holders", "key").distinct()
+    # classes that share the first 64 bits of their names keep a point each; either stands for both, as both come along below
+    point = indexed.filter("point is not null").select("key", "n", "point").dropDuplicates(["key"])
+    dealt = held.join(point, "key").withColumn("part", F.pmod("holders", F.lit(buckets)).cast("int"))
+    candidates = C.components(dealt.groupBy("part").applyInArrow(holder_edges(percent), "u long, v long"))
     least = rows.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("least"))
     blocks = candidates.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     # the first 8 bytes of the name, big-endian; two classes that share them both come along
