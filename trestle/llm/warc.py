@@ -27,6 +27,8 @@ CRLF = "\r\n"
 #: Records in one archive file.
 RECORDS = 2000
 RUN = 50_000
+#: Up to so many repeated digests (about 60 bytes each) are broadcast.
+BROADCAST_FIRSTS = 500_000
 
 
 def payload_digest(payload: Column) -> Column:
@@ -42,7 +44,10 @@ def with_types(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     base = base.withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("payload_digest", payload_digest(F.col("payload")))
     # only digests that occur twice take part in the join, without their pages
     firsts = base.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    joined = base.join(firsts, "payload_digest", "left")
+    # a bounded table of digests is broadcast, so that payloads stay where they are; a larger one is joined by shuffle
+    firsts = shared.table(firsts, "firsts")
+    small = firsts.limit(BROADCAST_FIRSTS + 1).count() <= BROADCAST_FIRSTS
+    joined = base.join(F.broadcast(firsts) if small else firsts, "payload_digest", "left")
     again = (F.col("payload_bytes") >= least_bytes) & F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first")))
     return joined.withColumn("refers_to", F.when(again, F.col("first"))).drop("first")
 
