@@ -88,15 +88,14 @@ def link(messages: DataFrame) -> DataFrame:
     quoting message takes the latest one before it by a search, so a hash that very many messages share makes no pairs.
     """
     base = parts(messages)
-    own = base.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("own_hashes").alias("hash"), F.lit(0).alias("level"))
-    asked = base.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", F.col("q.hash").alias("hash"), F.col("q.level").alias("level"))
-    wanted = asked.select("conv_id", "hash").distinct()
-    both = own.join(wanted, ["conv_id", "hash"], "left_semi").unionByName(asked).distinct()
+    # written and quoted hashes in one pass: those that nobody quotes end in the window
+    written = F.transform("own_hashes", lambda h: F.struct(F.lit(0).alias("level"), h.alias("hash")))
+    both = base.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(F.concat(written, "quotes")).alias("q")).select("conv_id", "turn", "q.hash", "q.level").distinct()
     # the latest earlier writer of the hash: a running maximum, quotes before writers of the same turn
     earlier = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("writer", F.max(F.when(F.col("level") == 0, F.col("turn"))).over(earlier)).filter("level > 0 and writer is not null")
     parents = found.groupBy("conv_id", "turn").agg(F.min(F.struct("level", (-F.col("writer")).alias("back"))).alias("best"))
-    turns = base.select("conv_id", "turn").filter("conv_id is not null and turn is not null").distinct()
+    turns = messages.select("conv_id", "turn").filter("conv_id is not null and turn is not null").distinct()
     previous = turns.withColumn("before", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")))
     out = base.join(previous.join(parents, ["conv_id", "turn"], "left"), ["conv_id", "turn"], "left")
     parent = F.coalesce(-F.col("best.back"), F.col("before"))
