@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,14 @@ class Fingerprints(dict):
 _fingerprints = Fingerprints()
 
 
+def trim() -> None:
+    """Give freed memory back to the system, which a worker that waits for its next task would hold."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give is not None:
+        give(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `size` bytes of text; a longer text is a batch of its own."""
     for batch in batches:
@@ -43,6 +52,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CH
             total += n
         if start < batch.num_rows:
             yield batch.slice(start)
+    trim()
 
 
 def _lengths(column: pa.Array) -> np.ndarray:
