@@ -10,6 +10,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch between the JVM and a Python worker, unless the session or the cluster sets it.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
 _shipped: set[str] = set()
 _made: list[tuple[SparkSession, str]] = []
 
@@ -61,7 +64,9 @@ def scan_bytes(df: DataFrame) -> int:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python, once for each application."""
+    """Give this package to the executors' Python, once for each application; each session gets small Arrow batches."""
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,25 @@ class Fingerprints(dict):
 _fingerprints = Fingerprints()
 
 
+def _settle() -> None:
+    """In a Python worker, blocks of a megabyte or more go back to the system when they are freed; workers outlive their tasks."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    tune = getattr(ctypes.CDLL(None), "mallopt", None)
+    if tune is not None:
+        for option, value in ((_MMAP_THRESHOLD, 1 << 20), (_TRIM_THRESHOLD, 1 << 20), (_ARENA_MAX, 2)):
+            tune(option, value)
+
+
+#: Numbers of mallopt's options.
+_TRIM_THRESHOLD, _MMAP_THRESHOLD, _ARENA_MAX = -1, -3, -8
+
+if "pyspark.worker" in sys.modules:
+    _settle()
+
+
 def trim() -> None:
     """Give freed memory back to the system, which a worker that waits for its next task would hold."""
+    _fingerprints.clear()
     pa.default_memory_pool().release_unused()
     give = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if give is not None:
