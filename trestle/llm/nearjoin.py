@@ -48,12 +48,11 @@ MAX_LONG = (1 << 63) - 1
 def sets(batches: Iterator[pa.RecordBatch], width: int, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Each chunk with the sorted distinct shingle fingerprints of its texts."""
     for batch in W.chunks(batches, text):
-        words: list[bytes] = []
-        ends = [0]
+        ends, prints = [0], [np.empty(0, dtype=np.uint64)]
         for t in W.texts(batch, text):
-            words += t.lower().split()
-            ends.append(len(words))
-        h = W.fingerprints(words)
+            prints.append(W.fingerprints(t.lower().split()))
+            ends.append(ends[-1] + len(prints[-1]))
+        h = np.concatenate(prints)
         grams = W.windows(h, width)
         out = []
         for a, b in zip(ends, ends[1:], strict=False):

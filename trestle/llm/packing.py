@@ -49,7 +49,7 @@ class WordTokenizer:
     tokens, go through the tokenizer itself.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 250_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -91,6 +91,10 @@ class WordTokenizer:
                 return pack_ids([x for piece in LATIN_PIECES.findall(s) for x in self.merge(piece.encode() + b"\xff")])
         return self.plain(w.decode())
 
+    def forget(self) -> None:
+        """Empty the cache: a worker that waits for its next task needn't hold it."""
+        self.new, self.old = {}, {}
+
     def learn(self, w: bytes) -> bytes:
         if len(self.new) >= self.limit:
             self.old, self.new = self.new, {}
@@ -216,5 +220,7 @@ def pack(
                     yield from flush()
         if held:
             yield from flush()
+        encode.forget()
+        W.trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, cost double, token_ids binary")
