@@ -54,13 +54,18 @@ def later(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, order: tuple
     fingerprints with differing words is told apart by the words themselves.
     """
     doc, at = order
-    by = np.lexsort((at, doc, prints))
-    same = np.concatenate([[False], prints[by[1:]] == prints[by[:-1]]])
+    by = np.argsort(prints)
+    ties = prints[by[1:]] == prints[by[:-1]]
+    same = np.concatenate([[False], ties])
+    among = np.flatnonzero(same | np.concatenate([ties, [False]]))  # only equal fingerprints need the order of (doc, start)
+    few = by[among]
+    by[among] = few[np.lexsort((at[few], doc[few], prints[few]))]
     hit = np.zeros(len(by), dtype=bool)
     pairs = np.flatnonzero(same)
     equal = np.ones(len(pairs), dtype=bool)
+    here, before = starts[by[pairs]], starts[by[pairs - 1]]
     for k in range(width):
-        equal &= ids[starts[by[pairs]] + k] == ids[starts[by[pairs - 1]] + k]
+        equal &= ids[here + k] == ids[before + k]
     group = np.cumsum(~same)
     odd = set(group[pairs[~equal]].tolist())
     first_of = np.maximum.accumulate(np.where(~same, np.arange(len(by)), 0))
@@ -95,11 +100,11 @@ def pack(docs: DataFrame, width: int, mer: int, buckets: int) -> DataFrame:
             doc_key = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             # documents in the order of their ids, so that what comes first in the chunk comes first
             chosen = long_enough[np.lexsort((doc_key[long_enough], doc_id[long_enough]))]
-            number: dict[bytes, int] = {}
+            number = W.Numbers()
             flat: list[bytes] = []
             for d in chosen:
                 flat += texts[d]
-            ids = np.fromiter((number.setdefault(w, len(number)) for w in flat), dtype=np.int32, count=len(flat))
+            ids = np.fromiter(map(number.__getitem__, flat), dtype=np.int32, count=len(flat))
             unique = list(number)
             h = W.fingerprints(unique)[ids]
             ends = np.cumsum(lens[chosen])
@@ -160,7 +165,7 @@ def bucket_ranges(width: int):
         if t.column("bucket")[0].as_py() < 0:
             own = [np.frombuffer(b, "<i8").reshape(4, -1) for b in blobs]
             return table(*np.concatenate(own, axis=1))
-        number: dict[bytes, int] = {}
+        number = W.Numbers()
         ids, doc, key, start, count = [], [], [], [], []
         for blob in blobs:
             raw = zstandard.ZstdDecompressor().decompress(blob)
@@ -171,7 +176,7 @@ def bucket_ranges(width: int):
             start.append(three[2])
             count.append(np.frombuffer(raw, "<i4", n, 8 + 24 * n))
             words = raw[8 + 28 * n :].split(b" ")
-            ids.append(np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int32, count=len(words)))
+            ids.append(np.fromiter(map(number.__getitem__, words), dtype=np.int32, count=len(words)))
         ids, doc, key, start, count = (np.concatenate(x) for x in (ids, doc, key, start, count))
         h = W.fingerprints(list(number))[ids]
         size = count + width - 1

@@ -29,6 +29,14 @@ class Fingerprints(dict):
         return value
 
 
+class Numbers(dict):
+    """word -> its place in the order in which words were first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 _fingerprints = Fingerprints()
 
 
