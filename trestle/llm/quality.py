@@ -26,6 +26,8 @@ FEATURES = ("x_words", "x_word_length", "x_symbols", "x_dup_lines", "x_repeats")
 #: Least variance of a transformed statistic. Most texts have no symbols or repeats at all, and without a floor
 #: the first one that has a few would be infinitely far away.
 FLOORS = (0.25, 0.09, 0.16, 1.0, 1.0)
+#: Signs of deviations that are no harm: more words; fewer symbols, repeated lines and repeated words.
+HARMLESS = (1, 0, -1, -1, -1)
 #: Groups of up to so many rows of estimates are broadcast; beyond it they are joined by key.
 BROADCAST_GROUPS = 100_000
 #: Up to so many repeated fingerprints of a text are looked up one by one; with more, all its windows are sorted.
@@ -124,11 +126,14 @@ def _with(rows: DataFrame, est: DataFrame, small: bool) -> DataFrame:
     return rows.join(F.broadcast(est) if small else est, "g")
 
 
-def _far(d: int) -> Column:
+def _far(d: int, harmless: tuple[int, ...] | None = None) -> Column:
+    """The squared distance; deviations with a harmless sign count as zero."""
     total: Column = F.lit(0.0)
     names = []
     for i in range(d):
         y = F.col(f"x{i}") - F.col(f"m_{i}")
+        if harmless and harmless[i]:
+            y = (F.least if harmless[i] > 0 else F.greatest)(y, F.lit(0.0))
         for k in range(i):
             y = y - F.col(f"l_{i}_{k}") * names[k]
         y = y / F.col(f"l_{i}_{i}")
@@ -138,8 +143,9 @@ def _far(d: int) -> Column:
 
 
 def robust_outliers(stats: DataFrame, keep: list[str], share: float = 0.75, steps: int = 3, min_group: int = 200, floors: tuple[float, ...] = FLOORS) -> DataFrame:
-    """The columns `keep` of stats with `distance`, the squared robust Mahalanobis distance within (lang, source).
+    """The columns `keep` of stats with `distance`, the squared robust Mahalanobis distance within (lang, source), and `harm`.
 
+    `harm` is the distance of the deviations that aren't harmless, and never more than `distance`.
     Null lang or source is a group value of its own. Rows of an empty table have no estimate and there are none.
     """
     d = len(FEATURES)
@@ -165,7 +171,7 @@ def robust_outliers(stats: DataFrame, keep: list[str], share: float = 0.75, step
         limit = far.groupBy("g").agg(F.percentile_approx("far", share, 1000).alias("limit"))
         est = _estimates(_with(far, limit, small).filter("far <= limit"), d, floors)
     est = shared.table(est, "estimate")
-    return _with(rows, est, small).select("__row.*", _far(d).alias("distance"))
+    return _with(rows, est, small).select("__row.*", _far(d).alias("distance"), F.least(_far(d), _far(d, HARMLESS)).alias("harm"))
 
 
 def chi_square_quantile(p: float, k: int) -> float:
@@ -196,4 +202,4 @@ def judge(docs: DataFrame, keep: list[str] | None = None, limit: float | None =
     carried = [c for c in stats.columns if c not in ("lang", "source")]
     out = robust_outliers(stats, carried, **mcd)
     failed = base_failed()
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("distance") <= limit))
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("harm") <= limit)).drop("harm")
