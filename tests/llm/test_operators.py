@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from trestle.llm import components, decontaminate, language, nearjoin, packing, pages, quality, quotations, queries, secretscan, shared, substring, warc
+from trestle.llm import components, decontaminate, language, nearjoin, packing, pages, quality, quotations, queries, replies, secretscan, shared, substring, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, g string, far double, token string, words int, id string"
 
@@ -334,3 +334,25 @@ def test_long_clean_text(spark):
     out = by_id(quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)), "kept", "distance")
     assert out[1000][0] and out[1000][1] > quality.chi_square_quantile(0.9999, 5)
     assert not out[1001][0] and all(out[i][0] for i in range(300))
+
+
+def test_reply_order(spark, monkeypatch):
+    """Parents before children, siblings by turn; large trees as small ones; conversations without quotes."""
+    shared.ship(spark)
+    a, b = "What is the first question here?", "And here comes another question."
+    rows = [(1, 0, "u", a), (1, 1, "v", b), (1, 2, "w", f"> {a}\nanswer to the first"), (1, 3, "u", f"> {b}\nanswer to the second"), (1, 3, "u", f"> {b}\nanswer to the second"), (1, 4, None, None), (None, 0, "u", "lost"), (2, 7, "u", "alone")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for small in (2_000, 1):
+        monkeypatch.setattr(replies, "SMALL", small)
+        linked = quotations.link(frame)
+        got = {(r["conv_id"], r["turn"]): (r["parent_turn"], r["position"], r["depth"]) for r in linked.collect()}
+        assert got == {(1, 0): (None, 0, 0), (1, 1): (0, 1, 1), (1, 3): (1, 2, 2), (1, 4): (3, 3, 3), (1, 2): (0, 4, 1), (None, 0): (None, None, None), (2, 7): (None, 0, 0)}
+        whole = {r["conv_id"]: (r["n_messages"], r["text"]) for r in quotations.conversations(linked).collect()}
+        assert whole == {1: (5, f"u: {a}\n\nv: {b}\n\nu: answer to the second\n\n: \n\nw: answer to the first"), 2: (1, "u: alone")}
+    rng = random.Random(3)
+    nodes = [(5, t, rng.choice([t - 1, rng.randrange(t)]) if t else None) for t in range(300)]
+    assert by_place(replies.places(spark.createDataFrame(nodes, "conv_id long, turn long, parent_turn long"))) == {t: x for t, *x in zip(range(300), *replies.preorder([n[1] for n in nodes], [n[2] for n in nodes]), strict=True)}
+
+
+def by_place(df):
+    return {r["turn"]: [r["position"], r["depth"]] for r in df.collect()}

@@ -44,6 +44,10 @@ def op8_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.link(_table(spark, sf_dir, "conversations"))
 
 
+def op8_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.conversations(quotations.link(_table(spark, sf_dir, "conversations")))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secretscan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
     count = lambda rank: F.size(F.filter("secrets", lambda s: s["rank"] == rank)).cast("long")
@@ -80,7 +84,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op1_pack, op2_language, op3_secrets, op4_html, op5_substring, op6_warc, op7_near, op8_quotations, op9_decontaminate, op10_quality)}
+    return {f.__name__: _shipped(f) for f in (op1_pack, op2_language, op3_secrets, op4_html, op5_substring, op6_warc, op7_near, op8_quotations, op8_replies, op9_decontaminate, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

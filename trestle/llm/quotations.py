@@ -5,7 +5,7 @@ deeper is a quoted passage; an attribution line just before it goes with it. Pas
 normalised (marks, case and white space removed) and hashed paragraph by paragraph, so a passage that was wrapped anew or cut
 at a paragraph still has hashes in common with its original. Hashes of quoted paragraphs are joined to those of what earlier messages of the same
 conversation wrote themselves; the latest earlier message with a common hash at the lowest level is the parent.
-Messages that quote nothing found answer the one before them.
+Messages that quote nothing found answer the one before them. Conversations are then put in the order of their reply trees.
 """
 
 from __future__ import annotations
@@ -18,11 +18,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import replies, shared
+
 MARK = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 ATTRIBUTION = re.compile(r"(?:^On\b.*\bwrote:|^.{1,200}\b(?:wrote|writes|schrieb|a écrit|escribió)\s?:|^-{2,}\s*(?:Original|Forwarded) Message\s*-{2,})\s*$", re.I)
 SPACE = re.compile(r"\s+")
 #: Passages of fewer characters, normalised, link nothing: they are greetings and the like.
 LEAST = 8
+#: Messages in a part of an assembled conversation.
+PART = 100
 
 
 def levels(text: str) -> list[tuple[int, str]]:
@@ -78,11 +82,12 @@ def parts(messages: DataFrame) -> DataFrame:
 
 
 def link(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, parent_turn, link, depth_quoted, text) for each message; text is without quotes.
+    """(conv_id, turn, role, parent_turn, link, position, depth, depth_quoted, text) for each message; text is without quotes.
 
     link is `quote`, `previous` or `root`. A message's parent is always an earlier turn of its conversation, so replies
     make trees; rows that share conv_id and turn get a row each and are one message for links. Null texts are empty; a null turn
-    or conversation has no parent. An empty table gives no rows, and other columns are not read.
+    or conversation has no parent. position is the rank in the conversation's reply tree from 0, a parent before its children and
+    siblings by turn, depth the number of messages above; both are null where turn or conversation is. An empty table gives no rows, and other columns are not read.
 
     The join is by (conversation, hash); of the writers of one hash only the sorted turns are kept, and each
     quoting message takes the latest one before it by a search, so a hash that very many messages share makes no pairs.
@@ -97,7 +102,22 @@ def link(messages: DataFrame) -> DataFrame:
     parents = found.groupBy("conv_id", "turn").agg(F.min(F.struct("level", (-F.col("writer")).alias("back"))).alias("best"))
     turns = messages.select("conv_id", "turn").filter("conv_id is not null and turn is not null").distinct()
     previous = turns.withColumn("before", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")))
-    out = base.join(previous.join(parents, ["conv_id", "turn"], "left"), ["conv_id", "turn"], "left")
     parent = F.coalesce(-F.col("best.back"), F.col("before"))
     kind = F.when(F.col("best").isNotNull(), "quote").when(F.col("before").isNotNull(), "previous").otherwise("root")
-    return out.select("conv_id", "turn", "role", parent.alias("parent_turn"), kind.alias("link"), F.coalesce(F.array_max(F.transform("quotes", lambda q: q["level"])), F.lit(0)).cast("long").alias("depth_quoted"), F.col("own").alias("text"))
+    links = shared.table(previous.join(parents, ["conv_id", "turn"], "left").select("conv_id", "turn", parent.alias("parent_turn"), kind.alias("link")), "links")
+    placed = links.join(replies.places(links.select("conv_id", "turn", "parent_turn")), ["conv_id", "turn"])
+    out = base.join(placed, ["conv_id", "turn"], "left")
+    depth_quoted = F.coalesce(F.array_max(F.transform("quotes", lambda q: q["level"])), F.lit(0)).cast("long")
+    return out.select("conv_id", "turn", "role", "parent_turn", F.coalesce("link", F.lit("root")).alias("link"), "position", "depth", depth_quoted.alias("depth_quoted"), F.col("own").alias("text"))
+
+
+def conversations(linked: DataFrame) -> DataFrame:
+    """(conv_id, part, n_messages, text): conversations in reply order without quotes, in parts of `PART` messages.
+
+    Each message is `role: text`, with an empty line between two. Rows that repeat are one message; rows that share a
+    turn and differ follow one another. Messages without turn or conversation have no place and stand in no conversation.
+    """
+    rows = linked.filter("position is not null").select("conv_id", F.floor(F.col("position") / PART).cast("long").alias("part"), F.struct("position", "role", "text").alias("m"))
+    found = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_set("m")).alias("m"))
+    said = F.transform("m", lambda m: F.concat(F.coalesce(m["role"], F.lit("")), F.lit(": "), m["text"]))
+    return found.select("conv_id", "part", F.size("m").cast("long").alias("n_messages"), F.array_join(said, "\n\n").alias("text"))
