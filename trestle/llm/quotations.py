@@ -4,7 +4,8 @@ A message's lines carry quote levels (`>` marks, with or without spaces between
 deeper is a quoted passage; an attribution line just before it goes with it. Passages and messages are
 normalised (marks, case and white space removed) and hashed paragraph by paragraph, so a passage that was wrapped anew or cut
 at a paragraph still has hashes in common with its original. Hashes of quoted paragraphs are joined to those of what earlier messages of the same
-conversation wrote themselves; the latest earlier message with a common hash at the lowest level is the parent.
+conversation wrote themselves. At the lowest level with a common hash, whole passages go before paragraphs and these before lines, then
+longer pieces before shorter ones; the latest earlier message among equals is the parent.
 Messages that quote nothing found answer the one before them. Conversations are then put in the order of their reply trees.
 """
 
@@ -23,7 +24,7 @@ from . import replies, shared
 MARK = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 ATTRIBUTION = re.compile(r"(?:^On\b.*\bwrote:|^.{1,200}\b(?:wrote|writes|schrieb|a écrit|escribió)\s?:|^-{2,}\s*(?:Original|Forwarded) Message\s*-{2,})\s*$", re.I)
 SPACE = re.compile(r"\s+")
-#: Passages of fewer characters, normalised, link nothing: they are greetings and the like.
+#: Pieces of fewer characters, normalised, link nothing (they are greetings and the like) unless they are a whole message, quoted alone.
 LEAST = 8
 #: Messages in a part of an assembled conversation.
 PART = 100
@@ -43,15 +44,19 @@ def normalised(text: str) -> str:
     return SPACE.sub(" ", text).strip().lower()
 
 
-def paragraphs(lines: list[str]) -> list[int]:
-    """Hashes of the whole passage and of each of its paragraphs and lines."""
-    pieces = ["\n".join(lines), *"\n".join(x if x.strip() else "" for x in lines).split("\n\n"), *lines]
-    kept = {n for p in pieces if len(n := normalised(p)) >= LEAST}
-    return sorted(xxhash.xxh3_64_intdigest(n) - (1 << 63) for n in kept)
+def paragraphs(lines: list[str]) -> list[tuple[int, int, int]]:
+    """(hash, kind, length) of the whole passage (kind 0) and of each of its paragraphs (1) and lines (2); of equal pieces the first kind."""
+    pieces = [(0, "\n".join(lines)), *((1, p) for p in "\n".join(x if x.strip() else "" for x in lines).split("\n\n")), *((2, x) for x in lines)]
+    kept: dict[str, int] = {}
+    for kind, p in pieces:
+        n = normalised(p)
+        if len(n) >= LEAST or (n and kind == 0):
+            kept.setdefault(n, kind)
+    return sorted((xxhash.xxh3_64_intdigest(n) - (1 << 63), kind, len(n)) for n, kind in kept.items())
 
 
-def split(text: str) -> tuple[str, list[int], list[tuple[int, int]]]:
-    """(own text, hashes of it, (level, hash) of quoted passages)."""
+def split(text: str) -> tuple[str, list[int], list[tuple[int, int, int, int]]]:
+    """(own text, hashes of it, (level, hash, kind, length) of quoted passages)."""
     lines = levels(text)
     own: list[str] = []
     quoted: dict[int, list[list[str]]] = {}
@@ -66,19 +71,19 @@ def split(text: str) -> tuple[str, list[int], list[tuple[int, int]]]:
             quoted[level][-1].append(rest)
         before = level
     body = re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip("\n") if quoted else text
-    return body, paragraphs(own), [(level, h) for level, found in sorted(quoted.items()) for lines_ in found for h in paragraphs(lines_)]
+    return body, [h for h, _, _ in paragraphs(own)], [(level, *h) for level, found in sorted(quoted.items()) for lines_ in found for h in paragraphs(lines_)]
 
 
 def parts(messages: DataFrame) -> DataFrame:
-    """messages (conv_id, turn, role, text) with own, own_hashes and quotes (array of level, hash)."""
+    """messages (conv_id, turn, role, text) with own, own_hashes and quotes (array of level, hash, kind, length)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64())]))
+        kind = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("kind", pa.int32()), ("length", pa.int32())]))
         for batch in batches:
             found = [split(t or "") for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([[{"level": a, "hash": b} for a, b in f[2]] for f in found], kind)], [*batch.schema.names, "own", "own_hashes", "quotes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([[{"level": a, "hash": h, "kind": k, "length": n} for a, h, k, n in f[2]] for f in found], kind)], [*batch.schema.names, "own", "own_hashes", "quotes"])
 
-    return messages.select("conv_id", "turn", "role", "text").mapInArrow(run, "conv_id long, turn long, role string, text string, own string, own_hashes array<long>, quotes array<struct<level:int,hash:long>>")
+    return messages.select("conv_id", "turn", "role", "text").mapInArrow(run, "conv_id long, turn long, role string, text string, own string, own_hashes array<long>, quotes array<struct<level:int,hash:long,kind:int,length:int>>")
 
 
 def link(messages: DataFrame) -> DataFrame:
@@ -94,12 +99,12 @@ def link(messages: DataFrame) -> DataFrame:
     """
     base = parts(messages)
     # written and quoted hashes in one pass: those that nobody quotes end in the window
-    written = F.transform("own_hashes", lambda h: F.struct(F.lit(0).alias("level"), h.alias("hash")))
-    both = base.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(F.concat(written, "quotes")).alias("q")).select("conv_id", "turn", "q.hash", "q.level").distinct()
+    written = F.transform("own_hashes", lambda h: F.struct(F.lit(0).alias("level"), h.alias("hash"), F.lit(0).alias("kind"), F.lit(0).alias("length")))
+    both = base.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(F.concat(written, "quotes")).alias("q")).select("conv_id", "turn", "q.hash", "q.level", "q.kind", "q.length").distinct()
     # the latest earlier writer of the hash: a running maximum, quotes before writers of the same turn
     earlier = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("writer", F.max(F.when(F.col("level") == 0, F.col("turn"))).over(earlier)).filter("level > 0 and writer is not null")
-    parents = found.groupBy("conv_id", "turn").agg(F.min(F.struct("level", (-F.col("writer")).alias("back"))).alias("best"))
+    parents = found.groupBy("conv_id", "turn").agg(F.min(F.struct("level", "kind", (-F.col("length")).alias("short"), (-F.col("writer")).alias("back"))).alias("best"))
     turns = messages.select("conv_id", "turn").filter("conv_id is not null and turn is not null").distinct()
     previous = turns.withColumn("before", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")))
     parent = F.coalesce(-F.col("best.back"), F.col("before"))
