@@ -40,6 +40,14 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 SPACE = re.compile(r"\s+")
 #: A path is content if its fused ratio is at least this share of the page's mean.
 SHARE = 0.25
+#: Articles are the containers if they hold at least this share of the content text.
+NEARLY = 0.9
+SECTIONS = frozenset(["article", "main", "section", "div", "body", ""])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are made for text, and those that are judged as one.
+TEXTUAL = HEADINGS | frozenset("p li dt dd td th caption figcaption blockquote pre code q summary".split())
+LISTS = frozenset("ul ol dl table".split())
+TITLES = re.compile(r"(?:^|[\s_-])(?:title|subtitle|headline|heading|subheading)(?=$|[\s_-])", re.I)
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -149,43 +157,76 @@ def extract(html: str) -> str:
     """The page's main text: blocks in page order, joined by one space."""
     found, _ = parse(html)
     chosen = content_paths(found)
-    weight: dict[Node, int] = {}
-    total = 0
-    for node, text, _ in found:
-        if not node.never and node.path in chosen:
-            n = len(text.strip())
-            total += n
-            up: Node | None = node
-            while up is not None:
-                weight[up] = weight.get(up, 0) + n
-                up = up.parent
+    # link text says nothing of where the content is, unless there is no other
+    for plain in (True, False):
+        weight: dict[Node, int] = {}
+        total = 0
+        for node, text, _ in found:
+            if not node.never and node.path in chosen and not (plain and any(n.tag == "a" for n in above(node))):
+                n = len(text.strip())
+                total += n
+                for up in above(node) if n else ():
+                    weight[up] = weight.get(up, 0) + n
+        if total:
+            break
     if not total:
         return ""
-    # the deepest sectioning container that holds most of the content text
-    best = None
-    for node, w in weight.items():
-        if node.tag in ("article", "main", "section", "div", "td", "body", "") and 2 * w > total:
-            depth = node.path.count("/")
-            rank = (node.tag in ("article", "main"), depth)
-            if best is None or rank > best[0]:
-                best = (rank, node)
-    inside: dict[Node, bool] = {}
-
-    def within(node: Node | None) -> bool:
-        if node is None:
-            return False
-        if node not in inside:
-            inside[node] = node is best[1] or within(node.parent)
-        return inside[node]
-
+    parts = [n for n in weight if n.tag in ("article", "main") and not any(x.tag in ("article", "main") for x in above(n.parent))]
+    if sum(weight[n] for n in parts) < NEARLY * total:
+        holders = [n for n in weight if weight[n] == total and (n.tag in SECTIONS or n.tag == "td")]
+        deepest = max(holders, key=lambda n: n.path.count("/"))
+        # the title may stand beside it: up to the first container, short of the body, that has one
+        titled = {up for node, text, _ in found if not node.never and text.strip() and any(n.tag == "h1" for n in above(node)) for up in above(node)}
+        parts = [next((n for n in above(deepest) if n in titled and n.tag not in ("body", "html", "")), deepest)]
+    roots = set(parts)
+    runs = [(k, node, text, block) for k, (node, text, block) in enumerate(found) if not node.never and any(n in roots for n in above(node))]
+    chars: dict[Node, int] = {}
+    links: dict[Node, int] = {}
+    places = []
+    for k, node, text, _ in runs:
+        own = []
+        for n in above(node):
+            own.append(n)
+            if n in roots:
+                break
+        lists = [n for n in own[:-1] if n.tag in LISTS]
+        unit = lists[-1] if lists else next((n for n in own if n.tag in BLOCK), own[-1])
+        size = len(text.strip())
+        chars[unit] = chars.get(unit, 0) + size
+        links[unit] = links.get(unit, 0) + (size if any(n.tag == "a" for n in own) else 0)
+        places.append((own, unit))
+        if node.path in chosen and size:
+            last = k
+    first = next(k for k, node, text, _ in runs if text.strip() and (node.path in chosen or any(n.tag == "h1" for n in above(node))))
     blocks: dict[int, list[str]] = {}
-    for node, text, block in found:
-        if not node.never and within(node):
+    for (k, node, text, block), (own, unit) in zip(runs, places, strict=True):
+        if node.path in chosen or not text.strip() or among(own, unit, chosen, weight, first < k < last, 2 * links[unit] > chars[unit]):
             blocks.setdefault(block, []).append(text)
     out = (SPACE.sub(" ", unescape("".join(b))).strip() for b in blocks.values())
     return " ".join(b for b in out if b)
 
 
+def above(node: Node | None) -> Iterator[Node]:
+    """The node and those that hold it."""
+    while node is not None:
+        yield node
+        node = node.parent
+
+
+def among(own: list[Node], unit: Node, chosen: set[str], weight: dict[Node, int], between: bool, linked: bool) -> bool:
+    """Whether text of no content path goes with the content; own leads from its node to the container."""
+    block = next((n for n in own if n.tag in BLOCK), own[-1])
+    if block.path in chosen:
+        return True
+    if any(n.tag == "h1" or TITLES.search(n.path[n.path.rfind("/") :].partition(".")[2]) for n in own[:-1]):
+        return True
+    heading = any(n.tag in HEADINGS for n in own[:-1])
+    if linked and not heading:
+        return False
+    section = next((n for n in own if n.tag in SECTIONS), own[-1])
+    return (block is own[-1] or any(n.tag in TEXTUAL for n in own[:-1])) and (between or section in weight)
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for each row of pages (page_id, url, html).
 
