@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from trestle.llm import decontaminate, nearjoin, packing, quality, secretscan, shared
 from trestle.llm.queries import tokenizer_path
 
+#: Near duplicates share shingles of so many words at so many per cent; query 7's contract, four words and 85, is its own.
+WIDTH, PERCENT = 5, 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -25,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents, the one with the least doc_id stays; documents without words stay."""
     shared.ship(spark)
-    first = nearjoin.classes(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    first = nearjoin.classes(docs, width=WIDTH, percent=PERCENT).filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").select(COLUMNS)
 
 

@@ -34,3 +34,25 @@ def test_pipeline(spark, tmp_path):
     assert {r for r in seen["packing"]} == set(seen["secret_scans"])
     total = corpus_pipeline.run(spark, str(tmp_path)).agg(F.sum("length")).collect()[0][0]
     assert total == docs.agg(F.sum("length")).collect()[0][0]
+
+
+def five_words(rows, percent=80):
+    """Least id of each component of documents whose five-word sets are that similar."""
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, t in rows if (w := t.lower().split())}
+    first = {d: d for d in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    first[a] = first[b] = min(first[a], first[b])
+    return set(first.values())
+
+
+def test_near_stage(spark):
+    """The stage takes five words and 80 per cent: a copy with a fifth of new text goes, one with a third stays."""
+    rng = random.Random(15)
+    base = [prose(rng, 200) for _ in range(4)]
+    texts = [*base, base[0] + " " + prose(rng, 40), base[1] + " " + prose(rng, 70), base[2] + " " + prose(rng, 10)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert got == five_words(list(enumerate(texts))) == {0, 1, 2, 3, 5}
