@@ -17,18 +17,32 @@ WIDTH, PERCENT = 5, 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def verdict_key() -> list:
+    """128 bits of all that a verdict of quality depends on, and of the id; never null."""
+    columns = ["doc_id", "text", "lang", "source"]
+    parts = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
+    return [F.xxhash64(F.lit(seed), *parts).alias(f"__k{seed}") for seed in (1, 2)]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or the robust distance reject go."""
+    """Documents that the rules or the robust distance reject go. Each row is judged by itself, whatever its doc_id: null or repeated ids stay as they are."""
     shared.ship(spark)
-    kept = quality.judge(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    keyed = docs.select(*COLUMNS, *verdict_key())
+    kept = quality.judge(keyed, keep=["__k1", "__k2"]).filter("kept").select(F.col("in___k1").alias("__k1"), F.col("in___k2").alias("__k2")).distinct()
+    return keyed.join(kept, ["__k1", "__k2"], "left_semi").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents, the one with the least doc_id stays; documents without words stay."""
+    """Of each component of linked rows, one row with the least doc_id stays, a null one only if there are no others.
+
+    Rows are told apart by a number, so those that share a doc_id are linked by their texts alone. Documents without words stay.
+    """
     shared.ship(spark)
-    first = nearjoin.classes(docs, width=WIDTH, percent=PERCENT).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(COLUMNS)
+    rows = shared.table(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row")), "rows")
+    found = nearjoin.classes(rows.select(F.col("__row").alias("doc_id"), "text"), width=WIDTH, percent=PERCENT)
+    found = found.withColumnRenamed("doc_id", "__row").join(rows.select("__row", "doc_id"), "__row")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("__row")).select("__row")
+    return rows.join(first, "__row", "left_semi").select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
