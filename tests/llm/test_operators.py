@@ -218,26 +218,65 @@ def test_near(docs, empty, spark):
     assert rows == [(-1, 0, -1), (-1, 1, -1), (-1, 2, 4), (4, 2, 4), (4, 2, 4), (4, 2, 4)]
 
 
-def test_near_family(spark, monkeypatch):
-    """A family of near copies, most of them not linked with the first, in one bucket and in blocks."""
-    shared.ship(spark)
-    rng = random.Random(11)
-    words = [f"w{i}" for i in range(150)]
+def family(rng, n, words, most):
     rows = []
-    for i in range(300):
+    for i in range(n):
         v = list(words)
-        for _ in range(rng.randint(0, 7)):
-            v[rng.randrange(150)] = f"n{rng.randint(0, 10**6)}"
+        for _ in range(rng.randint(0, most)):
+            v[rng.randrange(len(v))] = f"n{rng.randint(0, 10**6)}"
         rows.append((i, " ".join(v)))
+    return rows
+
+
+def test_near_family(spark, monkeypatch):
+    """A family of near copies, most of them not linked with the first, some repeated; whole, and with its sets, tokens and components in many blocks."""
+    shared.ship(spark)
+    rng = random.Random(11)
+    rows = family(rng, 300, [f"w{i}" for i in range(150)], 7)
+    rows += [(1000 + i, rows[i % 3][1]) for i in range(20)] + [(2000 + i, " ".join(f"x{i}y{k}" for k in range(30))) for i in range(5)]
     expected = brute.near(rows)
+    assert 3 < len({c for _, c in expected.values()}) < 300
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert by_id(nearjoin.classes(frame), "n_shingles", "component_id") == expected
-    monkeypatch.setattr(nearjoin, "BLOCK", 100)
-    assert by_id(nearjoin.classes(frame), "n_shingles", "component_id") == expected
-    monkeypatch.setattr(nearjoin, "BROADCAST_DOCS", 0)
+    for name, value in {"SPLIT": 40, "BLOCK": 60, "HELD": 50, "BROADCAST_DOCS": 0, "FEW_COPIES": 3}.items():
+        monkeypatch.setattr(nearjoin, name, value)
     assert by_id(nearjoin.classes(frame), "n_shingles", "component_id") == expected
 
 
+def test_near_connect():
+    """The tree's search against all pairs: by bound and by overlap, for all members and for queries against the rest."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    own = []
+    for _ in range(400):
+        s = base.copy()
+        s[rng.permutation(60)[: rng.integers(0, 9)]] = rng.integers(0, 1 << 63, 1, dtype=np.uint64)[0] + np.arange(1, dtype=np.uint64)
+        own.append(np.unique(s))
+    size = np.array([len(s) for s in own], dtype=np.int64)
+    p = nearjoin.points(own)
+    bound = np.array([np.minimum(p, x).sum(axis=1, dtype=np.int64) for x in p])
+    over = np.array([[len(np.intersect1d(a, b)) for b in own] for a in own])
+    for exact, links in ((None, bound), (nearjoin.Overlaps(own), over)):
+        yes = 185 * links >= 85 * (size[:, None] + size)
+        for queries in (None, np.arange(0, 400, 3)):
+            label = np.arange(400) // 2
+            forest = nearjoin.Forest(400)
+            for i in range(0, 400, 2):
+                forest.join(i, i + 1)
+            for i, j in np.argwhere(yes if queries is None else yes & np.isin(np.arange(400), queries)[:, None]):
+                forest.join(i, j)
+            got = nearjoin.Forest(400)
+            for i in range(0, 400, 2):
+                got.join(i, i + 1)
+            edges = nearjoin.connect(p, size, label, 85, exact, queries)
+            assert all(yes[i, j] for i, j in edges) and len(edges) < 200
+            for i, j in edges:
+                got.join(i, j)
+            assert np.array_equal(got.roots(np.arange(400)), forest.roots(np.arange(400)))
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2000 + i) for i in range(1, 50)]

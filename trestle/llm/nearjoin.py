@@ -38,10 +38,14 @@ from . import words as W
 
 GROUPS = 128
 LEAF = 32
-#: A candidate component of more classes is dealt into blocks of about so many.
-BLOCK = 20_000
-#: Up to so many candidate documents (16 bytes each) are broadcast; more are joined by shuffle.
-BROADCAST_DOCS = 2_000_000
+#: A candidate component of more classes is dealt into blocks of about so many, and a set of holders into blocks of at most so many.
+BLOCK, SPLIT = 4096, 4096
+#: A token that prefixes hold more often has its holders dealt over several buckets from the start.
+HELD = 1 << 20
+#: Up to so many candidate documents (about 60 bytes each with their class) are broadcast; more are joined by shuffle.
+BROADCAST_DOCS = 500_000
+#: Classes with more copies than this, and than one in MANY of all rows, are named by broadcast: they can't be more than MANY.
+FEW_COPIES, MANY = 1_000, 20_000
 MAX_LONG = (1 << 63) - 1
 
 
@@ -88,11 +92,10 @@ def fine_groups(most: int) -> int:
 
 
 class Forest:
-    """Union-find over 0..n-1; `root` is kept flat enough for comparing in bulk."""
+    """Union-find over 0..n-1; a root is its component's least member."""
 
     def __init__(self, n: int):
         self.up = np.arange(n)
-        self.edges: list[tuple[int, int]] = []
 
     def find(self, i: int) -> int:
         up = self.up
@@ -101,13 +104,9 @@ class Forest:
             i = int(up[i])
         return i
 
-    def join(self, i: int, j: int) -> bool:
+    def join(self, i: int, j: int) -> None:
         a, b = self.find(i), self.find(j)
-        if a == b:
-            return False
         self.up[max(a, b)] = min(a, b)
-        self.edges.append((i, j))
-        return True
 
     def roots(self, idx: np.ndarray) -> np.ndarray:
         r = self.up[idx]
@@ -122,8 +121,7 @@ class Forest:
 class RTree:
     """Points of count vectors, packed into leaves by splitting at medians of the widest coordinate."""
 
-    def __init__(self, p: np.ndarray, size: np.ndarray, percent: int):
-        self.p, self.size, self.percent = p, size, percent
+    def __init__(self, p: np.ndarray, size: np.ndarray):
         leaves, stack = [], [np.arange(len(p))]
         while stack:
             idx = stack.pop()
@@ -139,53 +137,77 @@ class RTree:
         self.leaves = leaves
         self.high = np.array([p[x].max(axis=0) for x in leaves])
         self.least = np.array([size[x].min() for x in leaves])
-        self.leaf_of = np.empty(len(p), dtype=np.int64)
-        for k, x in enumerate(leaves):
-            self.leaf_of[x] = k
-
-    def reach(self, overlap: np.ndarray, a: int, b: np.ndarray) -> np.ndarray:
-        """Whether sets of sizes a and b can be linked with at most this overlap."""
-        return (100 + self.percent) * overlap >= self.percent * (a + b)
-
-    def near(self, q: int, forest: Forest, mine: int) -> Iterator[np.ndarray]:
-        """Points that may be linked with point q and are not connected with it, leaf by leaf, the likeliest leaf first."""
-        bound = np.minimum(self.high, self.p[q]).sum(axis=1, dtype=np.int64)
-        open_ = np.flatnonzero(self.reach(bound, int(self.size[q]), self.least))
-        for k in open_[np.argsort(-bound[open_], kind="stable")]:
-            idx = self.leaves[k]
-            idx = idx[forest.roots(idx) != forest.find(mine)]
-            if len(idx):
-                over = np.minimum(self.p[idx], self.p[q]).sum(axis=1, dtype=np.int64)
-                yes = self.reach(over, int(self.size[q]), self.size[idx])
-                if yes.any():
-                    yield idx[yes][np.argsort(-over[yes], kind="stable")]
-
-
-def connect(members: np.ndarray, p: np.ndarray, size: np.ndarray, forest: Forest, percent: int, verify=None) -> None:
-    """Join in the forest all members that are linked, by bound or, if verify is given, by verify(i, j).
-
-    Forest and verify number points as members does; the tree has numbers of its own.
+
+    def near(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
+        """Points of the leaves whose bound with a point holds."""
+        bound = np.minimum(self.high, point).sum(axis=1, dtype=np.int64)
+        open_ = np.flatnonzero(reach(bound, size, self.least, percent))
+        return np.concatenate([self.leaves[k] for k in open_]) if len(open_) else open_
+
+
+def reach(overlap: np.ndarray, a: int | np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes a and b are linked if they share so many tokens."""
+    return (100 + percent) * overlap >= percent * (a + b)
+
+
+class Overlaps:
+    """Exact overlaps of one set with many others."""
+
+    def __init__(self, own: list[np.ndarray]):
+        self.starts = np.concatenate([[0], np.cumsum([len(s) for s in own])]).astype(np.int64)
+        tokens, self.flat = np.unique(np.concatenate(own), return_inverse=True)
+        self.mark = np.zeros(len(tokens), dtype=np.int32)
+
+    def __call__(self, q: int, others: np.ndarray) -> np.ndarray:
+        mine = self.flat[self.starts[q] : self.starts[q + 1]]
+        self.mark[mine] = 1
+        begin, n = self.starts[others], self.starts[others + 1] - self.starts[others]
+        at = np.cumsum(n) - n
+        hits = self.mark[self.flat[np.repeat(begin - at, n) + np.arange(n.sum())]]
+        self.mark[mine] = 0
+        return np.add.reduceat(hits, at, dtype=np.int64)  # no set is empty
+
+
+def connect(p: np.ndarray, size: np.ndarray, label: np.ndarray, percent: int, exact: Overlaps | None = None, queries: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges that join the components of all pairs that are linked, by bound or, if `exact` is given, by overlap.
+
+    label says what is connected already. Every pair of two components is looked at once, or with `queries` every pair that
+    has a query, until all are connected.
     """
-    local = Forest(len(members))
-    first: dict[int, int] = {}
-    for i, m in enumerate(members):  # what is connected already
-        r = forest.find(int(m))
-        if r in first:
-            local.join(first[r], i)
-        else:
-            first[r] = i
-    tree = RTree(p[members], size[members], percent)
-    for q in range(len(members)):
-        for idx in tree.near(q, local, q):
-            for j in idx:
-                j = int(j)
-                if local.find(j) != local.find(q) and (verify is None or verify(int(members[q]), int(members[j]))):
-                    local.join(q, j)
-                    forest.join(int(members[q]), int(members[j]))
-
-
-def hot_tokens(docs: DataFrame, width: int, percent: int, bits: int, times: int = 8, least: int = 256) -> np.ndarray:
-    """A bit for each of 2**bits cells of tokens: whether prefixes hold its tokens `times` more often than the mean cell's."""
+    names, label = np.unique(label, return_inverse=True)
+    left, edges = len(names), []
+    if left < 2:
+        return edges
+    tree = RTree(p, size) if len(p) > LEAF else None
+    for q in range(len(p)) if queries is None else queries.tolist():
+        near = np.arange(q + 1 if queries is None else 0, len(p)) if tree is None else tree.near(p[q], int(size[q]), percent)
+        if queries is None and tree is not None:
+            near = near[near > q]
+        near = near[label[near] != label[q]]
+        if not len(near):
+            continue
+        over = np.minimum(p[near], p[q]).sum(axis=1, dtype=np.int64)
+        yes = reach(over, int(size[q]), size[near], percent)
+        near = near[yes][np.argsort(-over[yes], kind="stable")]
+        at, step = 0, len(near) if exact is None else LEAF
+        while at < len(near):  # the likeliest first: components that they join needn't be looked at again
+            some = near[at : at + step]
+            at, step = at + step, 8 * step
+            some = some[label[some] != label[q]]
+            if exact is not None and len(some):
+                some = some[reach(exact(q, some), int(size[q]), size[some], percent)]
+            found, first = np.unique(label[some], return_index=True)
+            if len(found):
+                edges += [(q, int(j)) for j in some[first]]
+                label[np.isin(label, found)] = label[q]
+                left -= len(found)
+        if left == 1:
+            break
+    return edges
+
+
+def hot_tokens(docs: DataFrame, width: int, percent: int, bits: int, times: int = 8, least: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """For each of 2**bits cells of tokens: whether prefixes hold its tokens `times` more often than the mean cell's, and in how many pieces the holders of such a token are dealt."""
     cells = 1 << bits
     part = min(cells, 1 << 14)
 
@@ -206,7 +228,8 @@ def hot_tokens(docs: DataFrame, width: int, percent: int, bits: int, times: int
     counts = np.zeros(cells, dtype=np.int64)
     for r in summed.toLocalIterator():  # 2**bits numbers, whatever the size of the input
         counts[r["part"] * part : (r["part"] + 1) * part] = np.frombuffer(r["counts"], dtype="<i8")
-    return counts > max(least, times * counts.mean())
+    pieces = 1 + counts // max(HELD, int(64 * counts.mean()))
+    return counts > max(least, times * counts.mean()), np.minimum(pieces, 1 << 15).astype(np.uint16)
 
 
 def _blob(*arrays: np.ndarray) -> bytes:
@@ -226,10 +249,14 @@ def _unblob(blob: bytes, kinds: list[str]) -> list[np.ndarray]:
 
 
 def index(docs: DataFrame, width: int, percent: int, hot, buckets: int) -> DataFrame:
-    """Blobs by bucket: prefix tokens with their classes, and in buckets below 0 what documents and points there are."""
+    """Blobs by bucket: prefix tokens with their classes, and in buckets below 0 what documents and points there are.
+
+    A token whose cell is dealt in pieces goes to the buckets of its pieces, from `buckets` on, each class to one of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = hot.value
+        flags, pieces = hot.value
+        split = bool((pieces > 1).any())
         mask = np.uint64(len(flags) - 1)
         for batch, chunk in sets(batches, width):
             ids = [digest(s) if len(s) else None for s in chunk]
@@ -243,7 +270,7 @@ def index(docs: DataFrame, width: int, percent: int, hot, buckets: int) -> DataF
             unique = [chunk[k] for k in places]
             p = points(unique)
             own = _blob(doc, np.array([len(s) for s in chunk], dtype="<i8"), named, places, p.astype("u1" if p.dtype == np.uint8 else "<u4"))
-            out_bucket, out_blob = [-1 - int(doc[0]) % buckets], [own]
+            out_bucket, out_blob = [-1 - int(W.mix(doc[:1].astype(np.uint64))[0] % np.uint64(buckets))], [own]
             if unique:
                 key = np.frombuffer(b"".join(i[:8] for i in first), dtype=">i8").astype("<i8")
                 tokens, owners = [], []
@@ -254,11 +281,21 @@ def index(docs: DataFrame, width: int, percent: int, hot, buckets: int) -> DataF
                     tokens.append(rare if len(rare) == m else np.concatenate([rare, s[common][: m - len(rare)]]))
                     owners.append(np.full(m, k, dtype="<i4"))
                 token, owner = np.concatenate(tokens), np.concatenate(owners)
+                if split:
+                    n = pieces[(token & mask).astype(np.int64)]
+                    for k in np.unique(n[n > 1]).tolist():
+                        of = np.flatnonzero(n == k)
+                        piece = W.mix(key[owner[of]].astype(np.uint64)) % np.uint64(k)
+                        to = (W.mix(token[of] + piece) % np.uint64(buckets)).astype(np.int64) + buckets
+                        for b in np.unique(to).tolist():
+                            out_bucket.append(b)
+                            out_blob.append(_blob(token[of[to == b]], piece[to == b], key[owner[of[to == b]]]))
+                    token, owner = token[n == 1], owner[n == 1]
                 bucket = (token % np.uint64(buckets)).astype(np.int64)
                 # 32 bits tell the tokens of a bucket apart well enough: a false match costs a look at its bound
                 short = ((token // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)).astype("<u4")
                 order = np.argsort(bucket, kind="stable")
-                for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
                     who, inverse = np.unique(owner[part], return_inverse=True)
                     out_bucket.append(int(bucket[part[0]]))
                     out_blob.append(_blob(short[part], inverse.astype("<u4"), key[who]))
@@ -267,7 +304,8 @@ def index(docs: DataFrame, width: int, percent: int, hot, buckets: int) -> DataF
     return docs.mapInArrow(run, "bucket int, blob binary")
 
 
-FOUND = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("id", pa.binary()), ("key", pa.int64()), ("point", pa.binary()), ("holders", pa.int64())])
+FOUND = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("id", pa.binary()), ("key", pa.int64()), ("point", pa.binary()), ("holders", pa.int64()), ("block", pa.int64())])
+INDEXED = "doc_id long, n long, id binary, key long, point binary, holders long, block long"
 
 
 def _raw(values: np.ndarray, width: int) -> list[bytes]:
@@ -275,14 +313,15 @@ def _raw(values: np.ndarray, width: int) -> list[bytes]:
     return [raw[at : at + width] for at in range(0, len(raw), width)]
 
 
-def holders(t: pa.Table) -> pa.Table:
-    """Tokens that at least two classes hold, as (holders, key): a number of the token's set of classes, and each of them.
+def holders(buckets: int):
+    """Tokens that at least two classes hold, as (holders, key, block): a number of the token's set of classes, and each of them.
 
-    A bucket below 0 gives its documents (doc_id, n, id), with key and point at one document of each class and chunk.
-    Near copies share many tokens, and these have few different sets of holders; points needn't come along for each token.
+    A set of more than `SPLIT` classes is in several blocks, numbered above 0; so is that of a token dealt in pieces. A bucket below 0 gives its documents
+    (doc_id, n, id), with key and point at one document of each class and chunk. Near copies share many tokens, and these have few different
+    sets of holders; points needn't come along for each token.
     """
-    blobs = t.column("blob").to_pylist()
-    if t.column("bucket")[0].as_py() < 0:
+
+    def documents(blobs: list[bytes]) -> pa.Table:
         parts = []
         for blob in blobs:
             doc, n, name, places, flat = _unblob(blob, ["<i8", "<i8", "u1", "<i4", "u1"])
@@ -292,68 +331,105 @@ def holders(t: pa.Table) -> pa.Table:
             for at, row in zip(places, _raw(flat, len(flat) // max(1, len(places))) if len(places) else [], strict=True):
                 key[at], point[at] = int.from_bytes(names[at][:8], "big", signed=True), row
             ids = pa.array([x if n[i] else None for i, x in enumerate(names)], pa.binary())
-            parts.append(pa.table([pa.array(doc), pa.array(n), ids, pa.array(key, mask=np.array([x is None for x in point])), pa.array(point, pa.binary()), pa.nulls(k, pa.int64())], schema=FOUND))
+            parts.append(pa.table([pa.array(doc), pa.array(n), ids, pa.array(key, mask=np.array([x is None for x in point])), pa.array(point, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], schema=FOUND))
         return pa.concat_tables(parts)
-    tokens, owners, keys, base = [], [], [], 0
-    for blob in blobs:
-        tok, own, key = _unblob(blob, ["<u4", "<u4", "<i8"])
-        tokens.append(tok)
-        owners.append(own.astype(np.int64) + base)
-        keys.append(key)
-        base += len(key)
-    names, same = np.unique(np.concatenate(keys), return_inverse=True)
-    token, owner = _unique(np.concatenate(tokens), same.ravel()[np.concatenate(owners)])
-    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    lengths = np.diff(np.concatenate([starts, [len(token)]]))
-    groups, members = [np.empty(0, dtype=np.int64)], [names[:0]]
-    seen = set()
-    for k in np.flatnonzero(lengths > 1):
-        of = names[owner[starts[k] : starts[k] + lengths[k]]]
-        number = xxhash.xxh3_64_intdigest(of.tobytes())
-        if number not in seen:
-            seen.add(number)
-            groups.append(np.full(len(of), np.uint64(number)).astype(np.int64))
+
+    def table(group: list[np.ndarray], member: list[np.ndarray], block: list[np.ndarray]) -> pa.Table:
+        g, m, b = (np.concatenate([np.empty(0, dtype=np.int64), *x]) for x in (group, member, block))
+        k = len(g)
+        return pa.table([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(m), pa.nulls(k, pa.binary()), pa.array(g), pa.array(b)], schema=FOUND)
+
+    def pieces(blobs: list[bytes]) -> pa.Table:
+        token, piece, key = (np.concatenate(x) for x in zip(*(_unblob(b, ["<u8", "<u8", "<i8"]) for b in blobs), strict=True))
+        groups, members, blocks = [], [], []
+        for t, p in set(zip(token.tolist(), piece.tolist(), strict=True)):
+            of = np.unique(key[(token == t) & (piece == p)])
+            groups.append(np.full(len(of), W.mix(np.array([t], dtype=np.uint64))[0]).astype(np.int64))
             members.append(of)
-    group, member = np.concatenate(groups), np.concatenate(members)
-    k = len(group)
-    return pa.table([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(member), pa.nulls(k, pa.binary()), pa.array(group)], schema=FOUND)
+            blocks.append(1 + p + (np.arange(len(of)) // SPLIT << 32))
+        return table(groups, members, blocks)
+
+    def run(t: pa.Table) -> pa.Table:
+        blobs, bucket = t.column("blob").to_pylist(), t.column("bucket")[0].as_py()
+        if bucket < 0:
+            return documents(blobs)
+        if bucket >= buckets:
+            return pieces(blobs)
+        tokens, owners, keys, base = [], [], [], 0
+        for blob in blobs:
+            tok, own, key = _unblob(blob, ["<u4", "<u4", "<i8"])
+            tokens.append(tok)
+            owners.append(own.astype(np.int64) + base)
+            keys.append(key)
+            base += len(key)
+        names, same = np.unique(np.concatenate(keys), return_inverse=True)
+        token, owner = _unique(np.concatenate(tokens), same.ravel()[np.concatenate(owners)])
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        lengths = np.diff(np.concatenate([starts, [len(token)]]))
+        groups, members, blocks = [], [], []
+        seen = set()
+        for k in np.flatnonzero(lengths > 1):
+            of = names[owner[starts[k] : starts[k] + lengths[k]]]
+            number = xxhash.xxh3_64_intdigest(of.tobytes())
+            if number not in seen:
+                seen.add(number)
+                groups.append(np.full(len(of), np.uint64(number)).astype(np.int64))
+                members.append(of)
+                blocks.append(np.zeros(len(of), dtype=np.int64) if len(of) <= SPLIT else 1 + np.arange(len(of)) // SPLIT)
+        return table(groups, members, blocks)
+
+    return run
+
+
+def _points(column: pa.ChunkedArray) -> np.ndarray:
+    return np.array([np.frombuffer(x, "u1" if len(x) == GROUPS else "<u4").astype(np.int32) for x in column.to_pylist()]).reshape(-1, GROUPS)
 
 
 def holder_edges(percent: int):
-    """Spanning edges (u, v) of the pairs of holders whose bound holds, by the first 64 bits of their classes' names."""
+    """Spanning edges (u, v) of the pairs of holders whose bound holds, by the first 64 bits of their classes' names, set by set and block by block."""
 
     def run(t: pa.Table) -> pa.Table:
-        keys = t.column("key").to_numpy()
-        names, first, who = np.unique(keys, return_index=True, return_inverse=True)
+        names, first, who = np.unique(t.column("key").to_numpy(), return_index=True, return_inverse=True)
         size = t.column("n").to_numpy()[first].astype(np.int64)
-        raw = t.column("point").take(pa.array(first)).to_pylist()
-        points_ = np.array([np.frombuffer(x, "u1" if len(x) == GROUPS else "<u4").astype(np.int32) for x in raw]).reshape(-1, GROUPS)
-        group, owner = _unique(t.column("holders").to_numpy(), who.ravel())
+        points_ = _points(t.column("point").take(pa.array(first)))
+        # two blocks with one number would only be searched together
+        of = W.mix(t.column("holders").to_numpy().astype(np.uint64) + W.mix(t.column("block").to_numpy().astype(np.uint64)))
+        group, owner = _unique(of, who.ravel())
         forest = Forest(len(first))
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         lengths = np.diff(np.concatenate([starts, [len(group)]]))
-        left, right = [], []
+        many = np.flatnonzero(lengths > LEAF)
+        for k in many[np.argsort(-lengths[many], kind="stable")]:  # what large sets connect needn't be looked at in the others
+            own = owner[starts[k] : starts[k] + lengths[k]]
+            for i, j in connect(points_[own], size[own], forest.roots(own), percent):
+                forest.join(int(own[i]), int(own[j]))
         for length in np.unique(lengths[(lengths > 1) & (lengths <= LEAF)]):
-            rows = owner[starts[lengths == length][:, None] + np.arange(length)]
+            sets_ = starts[lengths == length]
             i, j = np.triu_indices(length, 1)
-            left.append(rows[:, i].ravel())
-            right.append(rows[:, j].ravel())
-        if left:
-            a, b = np.concatenate(left), np.concatenate(right)
-            key = np.unique(np.minimum(a, b).astype(np.int64) << 32 | np.maximum(a, b))
-            a, b = key >> 32, key & 0xFFFFFFFF
-            for at in range(0, len(a), 100_000):
-                x, y = a[at : at + 100_000], b[at : at + 100_000]
+            step = max(1, 200_000 // len(i))
+            for at in range(0, len(sets_), step):
+                rows = owner[sets_[at : at + step, None] + np.arange(length)]
+                pairs = np.unique(rows[:, i].ravel().astype(np.int64) << 32 | rows[:, j].ravel())
+                x, y = pairs >> 32, pairs & 0xFFFFFFFF
+                open_ = forest.roots(x) != forest.roots(y)
+                x, y = x[open_], y[open_]
                 over = np.minimum(points_[x], points_[y]).sum(axis=1, dtype=np.int64)
-                for k in np.flatnonzero((100 + percent) * over >= percent * (size[x] + size[y])):
+                for k in np.flatnonzero(reach(over, size[x], size[y], percent)).tolist():
                     forest.join(int(x[k]), int(y[k]))
-        for k in np.flatnonzero(lengths > LEAF):
-            connect(owner[starts[k] : starts[k] + lengths[k]], points_, size, forest, percent)
-        touched = np.array(sorted({x for e in forest.edges for x in e}), dtype=np.int64)
-        # names are sorted and a forest's root is its least member
-        v = names[forest.roots(touched)] if len(touched) else names[:0]
-        u = names[touched] if len(touched) else names[:0]
-        return pa.table({"u": pa.array(u[u != v], pa.int64()), "v": pa.array(v[u != v], pa.int64())})
+        root = forest.roots(np.arange(len(names)))
+        u = np.flatnonzero(root != np.arange(len(names)))
+        return pa.table({"u": pa.array(names[u], pa.int64()), "v": pa.array(names[root[u]], pa.int64())})
+
+    return run
+
+
+def across_edges(percent: int):
+    """The same between a block of queries and another block, whose components are given by `root`."""
+
+    def run(t: pa.Table) -> pa.Table:
+        names = t.column("key").to_numpy()
+        found = connect(_points(t.column("point")), t.column("n").to_numpy().astype(np.int64), t.column("root").to_numpy(), percent, queries=np.flatnonzero(t.column("query").to_numpy()))
+        return pa.table({"u": pa.array([names[i] for i, _ in found], pa.int64()), "v": pa.array([names[j] for _, j in found], pa.int64())})
 
     return run
 
@@ -365,27 +441,62 @@ def _unique(token: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return token[keep], owner[keep]
 
 
+def _verified(ids: list[bytes], tokens: list[bytes], label: np.ndarray | None, queries: np.ndarray | None, percent: int) -> list[tuple[bytes, bytes]]:
+    own = [np.frombuffer(s, dtype="<u8") for s in tokens]
+    size = np.array([len(s) for s in own], dtype=np.int64)
+    found = connect(points(own, fine_groups(int(size.max()))), size, np.arange(len(own)) if label is None else label, percent, Overlaps(own), queries)
+    return [(ids[i], ids[j]) for i, j in found]
+
+
+def _edge_table(found: list[tuple[bytes, bytes]]) -> pa.Table:
+    return pa.table({"u": pa.array([i for i, _ in found], pa.binary()), "v": pa.array([j for _, j in found], pa.binary())})
+
+
 def block_edges(percent: int):
-    """Verified spanning edges (u, v) within one candidate component, or between two of its blocks."""
+    """Verified spanning edges (u, v) within candidate components or blocks of them."""
 
     def run(t: pa.Table) -> pa.Table:
-        found = {i: np.frombuffer(s, dtype="<u8") for i, s in zip(t.column("id").to_pylist(), t.column("tokens").to_pylist(), strict=True)}
-        raw = sorted(found)
-        own = [found[i] for i in raw]
-        size = np.array([len(s) for s in own], dtype=np.int64)
-        forest = Forest(len(raw))
+        roots, blocks, ids, tokens = (t.column(c).to_pylist() for c in ("root", "block", "id", "tokens"))
+        groups: dict[tuple[int, int], dict[bytes, bytes]] = {}
+        for r, b, i, s in zip(roots, blocks, ids, tokens, strict=True):
+            groups.setdefault((r, b), {})[i] = s  # a class comes once, or again with equal tokens
+        return _edge_table([e for g in groups.values() if len(g) > 1 for e in _verified(list(g), list(g.values()), None, None, percent)])
 
-        def verify(i: int, j: int) -> bool:
-            both = len(np.intersect1d(own[i], own[j], assume_unique=True))
-            return (100 + percent) * both >= percent * (size[i] + size[j])
+    return run
 
-        if len(raw) > 1:
-            connect(np.arange(len(raw)), points(own, fine_groups(int(size.max()))), size, forest, percent, verify)
-        return pa.table({"u": pa.array([raw[i] for i, _ in forest.edges], pa.binary()), "v": pa.array([raw[j] for _, j in forest.edges], pa.binary())})
+
+def block_across(percent: int):
+    """The same between a block of queries and another block, whose components are given by `root`."""
+
+    def run(t: pa.Table) -> pa.Table:
+        label = np.unique(t.column("root").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        return _edge_table(_verified(t.column("key").to_pylist(), t.column("tokens").to_pylist(), label, np.flatnonzero(t.column("query").to_numpy()), percent))
 
     return run
 
 
+def across(rows: DataFrame, labels: DataFrame, payload: DataFrame) -> DataFrame | None:
+    """What is left to compare between the blocks of sets: (set, a, b, key, root, query, payload), a group being one block of queries and one of all members.
+
+    rows are (set, key, block), labels (node, root) what is connected so far, payload (key, ...) what a search needs. In a set, the members
+    of its largest component are compared with the others, and these among each other; a set that is one component by now has nothing left,
+    which is what near copies come to. None if no set has anything left.
+    """
+    own = rows.join(labels, rows["key"] == labels["node"], "left").select("set", "key", "block", F.coalesce("root", "key").alias("root"))
+    counts = own.groupBy("set", "root").agg(F.count(F.lit(1)).alias("n"))
+    tops = counts.groupBy("set").agg(F.max_by("root", "n").alias("top"), F.count(F.lit(1)).alias("m"), (F.sum("n") - F.max("n")).alias("rest")).filter("m > 1")
+    tops = shared.table(tops.select("set", "top", F.ceil(F.col("rest") / SPLIT).cast("int").alias("parts")), "open")
+    n = tops.limit(BROADCAST_DOCS + 1).count()
+    if not n:
+        return None
+    own = own.join(F.broadcast(tops) if n <= BROADCAST_DOCS else tops, "set")
+    others = own.select("set", "block").distinct().withColumnRenamed("block", "b")
+    queries = own.filter("root != top").withColumn("a", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).join(others, "set").select("set", "a", "b", "key", "root", F.lit(True).alias("query"))
+    # a query stands among the members of its own block too, with its equal root it meets itself no more
+    members = own.withColumn("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("set", "a", F.col("block").alias("b"), "key", "root", F.lit(False).alias("query"))
+    return queries.unionByName(members).join(payload, "key")
+
+
 def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text).
 
@@ -399,39 +510,78 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     bits = min(22, max(16, math.ceil(math.log2(max(size, 1) / 512))))
     buckets = max(64, min(1 << 20, size >> 21))
     hot = spark.sparkContext.broadcast(hot_tokens(docs, width, percent, bits))
-    indexed = index(docs, width, percent, hot, buckets).groupBy("bucket").applyInArrow(holders, "doc_id long, n long, id binary, key long, point binary, holders long")
-    indexed = shared.table(indexed, "index")
+    indexed = shared.table(index(docs, width, percent, hot, buckets).groupBy("bucket").applyInArrow(holders(buckets), INDEXED), "index")
     hot.unpersist()
     rows = indexed.filter("holders is null").select("doc_id", "n", "id")
-    held = indexed.filter("holders is not null").select("holders", "key").distinct()
+    held = indexed.filter("holders is not null").select(F.col("holders").alias("set"), "key", "block").distinct()
     # classes that share the first 64 bits of their names keep a point each; either stands for both, as both come along below
     point = indexed.filter("point is not null").select("key", "n", "point").dropDuplicates(["key"])
-    dealt = held.join(point, "key").withColumn("part", F.pmod("holders", F.lit(buckets)).cast("int"))
-    candidates = C.components(dealt.groupBy("part").applyInArrow(holder_edges(percent), "u long, v long"))
-    least = rows.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("least"))
+    candidates = _candidates(held, point, percent, buckets)
+    least = rows.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    least = shared.table(least, "classes")
     blocks = candidates.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     # the first 8 bytes of the name, big-endian; two classes that share them both come along
     key = F.conv(F.hex(F.substring("id", 1, 8)), 16, -10).cast("long")
-    wanted = candidates.join(blocks, "root").join(least.withColumn("key", key), F.col("node") == F.col("key")).select(F.col("least").alias("doc_id"), F.col("id").alias("want"), "root", "blocks")
+    wanted = candidates.join(blocks, "root").join(least.withColumn("key", key), F.col("node") == F.col("key")).select(F.col("least").alias("doc_id"), F.col("id").alias("want"), "root", F.when(F.col("blocks") > 1, 1 + F.pmod(F.xxhash64("id"), F.col("blocks"))).otherwise(0).alias("block"))
     wanted = shared.table(wanted, "candidates")
+    whole = _wholes(docs, wanted, width)
+    large = wanted.filter("block > 0").limit(1).count() > 0
+    part = F.pmod(F.xxhash64("root", "block"), F.lit(buckets)).cast("int")
+    if large:
+        # their sets are read three times
+        whole = shared.table(whole, "wholes")
+    edges = whole.withColumn("part", part).groupBy("part").applyInArrow(block_edges(percent), "u binary, v binary")
+    if large:
+        edges = shared.table(edges, "verified")
+        split = whole.filter("block > 0").select(F.col("root").alias("set"), F.col("id").alias("key"), "block")
+        left = across(split, C.components(edges), whole.filter("block > 0").select(F.col("id").alias("key"), "tokens"))
+        if left is not None:
+            edges = edges.unionByName(left.groupBy("set", "a", "b").applyInArrow(block_across(percent), "u binary, v binary"))
+    linked = C.components(edges)
+    reached = linked.join(least, linked["node"] == least["id"])
+    tops = reached.groupBy("root").agg(F.min("least").alias("component"))
+    named = reached.join(tops, "root").select("id", "component")
+    full = shared.table(least.join(named, "id", "left").select("id", "copies", F.coalesce("component", "least").alias("component")), "components")
+    out = _named(rows, full).unionByName(rows.filter("id is null").select("doc_id", "n", F.col("doc_id").alias("component")))
+    real = lambda c: F.when(F.col(c) != MAX_LONG, F.col(c))
+    return out.select(real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
+
+
+def _candidates(held: DataFrame, point: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """(node, root) of classes connected by pairs that share a token of their prefixes and whose bound holds."""
+    dealt = held.join(point, "key").withColumnRenamed("set", "holders").withColumn("part", F.pmod(F.xxhash64("holders", "block"), F.lit(buckets)).cast("int"))
+    edges = dealt.groupBy("part").applyInArrow(holder_edges(percent), "u long, v long")
+    split = held.filter("block > 0")
+    if not split.limit(1).count():
+        return C.components(edges)
+    edges = shared.table(edges, "near")
+    left = across(split, C.components(edges), point)
+    if left is None:
+        return C.components(edges)
+    return C.components(edges.unionByName(left.groupBy("set", "a", "b").applyInArrow(across_edges(percent), "u long, v long")))
+
+
+def _wholes(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(id, root, block, tokens): the whole sets of the classes that are wanted, each from its first document."""
     small = wanted.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
-    texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select("want", "root", "blocks", "text")
+    texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select("want", "root", "block", "text")
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, chunk in sets(batches, width):
             want = batch.column(0).to_pylist()
             keep = [k for k, s in enumerate(chunk) if len(s) and digest(s) == want[k]]
             took = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([took.column(0), took.column(1), took.column(2), pa.array([chunk[k].astype("<u8").tobytes() for k in keep], pa.binary())], ["id", "root", "blocks", "tokens"])
+            yield pa.RecordBatch.from_arrays([took.column(0), took.column(1), took.column(2), pa.array([chunk[k].astype("<u8").tobytes() for k in keep], pa.binary())], ["id", "root", "block", "tokens"])
 
-    parts = texts.mapInArrow(whole, "id binary, root long, blocks int, tokens binary")
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    parts = parts.withColumn("b", mine).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), "id", "tokens")
-    linked = C.components(parts.groupBy("root", "i", "j").applyInArrow(block_edges(percent), "u binary, v binary"))
-    reached = linked.join(least, linked["node"] == least["id"])
-    tops = reached.groupBy("root").agg(F.min("least").alias("component"))
-    named = reached.join(tops, "root").select("id", "component")
-    full = least.join(named, "id", "left").select("id", F.coalesce("component", "least").alias("component"))
-    out = rows.filter("id is not null").join(full, "id").select("doc_id", "n", "component").unionByName(rows.filter("id is null").select("doc_id", "n", F.col("doc_id").alias("component")))
-    real = lambda c: F.when(F.col(c) != MAX_LONG, F.col(c))
-    return out.select(real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
+    # rows that repeat with one doc_id and text give one class twice
+    return texts.mapInArrow(run, "id binary, root long, block long, tokens binary")
+
+
+def _named(rows: DataFrame, full: DataFrame) -> DataFrame:
+    """(doc_id, n, component) of rows with words. Classes of very many copies are at most MANY and are broadcast; the others meet by shuffle."""
+    total = full.agg(F.sum("copies")).collect()[0][0] or 0
+    many = max(FEW_COPIES, total // MANY)
+    crowded = full.filter(F.col("copies") > many).select("id", F.col("component").alias("near"))
+    tagged = rows.filter("id is not null").join(F.broadcast(crowded), "id", "left")
+    rest = tagged.filter("near is null").select("doc_id", "n", "id").join(full.filter(F.col("copies") <= many), "id").select("doc_id", "n", "component")
+    return tagged.filter("near is not null").select("doc_id", "n", F.col("near").alias("component")).unionByName(rest)
