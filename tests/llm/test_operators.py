@@ -364,6 +364,61 @@ def test_outliers(spark):
     assert all(out[i] == (i % 20 != 0,) for i in range(600))
 
 
+def mcd(x, share=0.75, floors=quality.FLOORS):
+    """The estimate of one group, plainly: the covariance of least determinant that concentration steps from three starts reach."""
+    import numpy as np
+
+    q = lambda v, p: np.sort(v, axis=0)[int(np.ceil(p * len(v))) - 1]
+    floor, n, d = np.diag(floors), len(x), x.shape[1]
+    mid = q(x, 0.5)
+    scale = np.sqrt((1.4826 * q(abs(x - mid), 0.5)) ** 2 + floors)
+    z = (x - mid) / scale
+    u = z / np.sqrt(np.maximum((z * z).sum(axis=1), 1e-12))[:, None]
+    starts = [(mid, np.diag(scale**2)), (mid, d * (u.T @ u) / n * np.outer(scale, scale) + floor), (x.mean(axis=0), np.cov(x.T, bias=True) + floor)]
+    far = lambda e: ((x - e[0]) @ np.linalg.inv(e[1]) * (x - e[0])).sum(axis=1)
+
+    def step(e):
+        f = far(e)
+        near = x[f <= q(f, share)]
+        return near.mean(axis=0), quality.consistency(share, d) * np.cov(near.T, bias=True) + floor
+
+    best = min((step(step(e)) for e in starts), key=lambda e: np.linalg.slogdet(e[1])[1])
+    for _ in range(20):
+        before, best = best, step(best)
+        if abs(np.linalg.slogdet(best[1])[1] - np.linalg.slogdet(before[1])[1]) <= quality.SETTLED:
+            break
+    return far(best)
+
+
+def test_outlier_distances(spark):
+    """Distances against the plain estimate; a small group is judged by all rows of its language, and a small language by all rows."""
+    import numpy as np
+
+    rng = random.Random(21)
+    rows = [(i, prose(rng, rng.randint(60, 300)) + rng.choice(["", " # &", "\na b c\na b c"]), "en", "big") for i in range(600)]
+    rows += [(1000 + i, " ".join("#$%|" for _ in range(100 + i)) + " " + prose(rng, 20), "en", "small") for i in range(3)]
+    rows += [(2000 + i, prose(rng, 100), "xx", None) for i in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    stats = quality.statistics(frame).select("doc_id", *[c.alias(f"x{i}") for i, c in enumerate(quality.transformed())]).orderBy("doc_id").collect()
+    x = np.array([r[1:] for r in stats])
+    got = by_id(quality.judge(frame), "distance", "kept")
+    group, language, table = mcd(x[:600]), mcd(x[:603]), mcd(x)
+    expected = [*group[:600], *language[600:603], *table[603:]]
+    assert np.allclose([got[r[0]][0] for r in stats], expected, rtol=1e-6)
+    assert not any(got[1000 + i][1] for i in range(3)) and all(got[2000 + i][1] for i in range(5))
+    assert sum(got[i][1] for i in range(600)) >= 590
+
+
+def test_consistency():
+    """Against the normal distribution's own values: chi-square(5) at 0.75, and a sample's variance within the nearest share."""
+    import numpy as np
+
+    assert abs(quality.chi_square(6.62568, 5) - 0.75) < 1e-5 and abs(quality.chi_square_quantile(0.75, 5) - 6.62568) < 0.02
+    x = np.random.default_rng(1).normal(size=(400_000, 5))
+    f = (x * x).sum(axis=1)
+    assert abs(quality.consistency(0.75, 5) * x[f <= np.quantile(f, 0.75)].var() - 1) < 0.01
+
+
 def test_long_clean_text(spark):
     """Being long, free of symbols or free of repeats takes no text out; a long text full of symbols still goes."""
     rng = random.Random(12)

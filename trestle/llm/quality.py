@@ -3,11 +3,15 @@
 Everything here is DataFrame expressions; there is no Python on the executors.
 
 `statistics` counts in each whole text. `robust_outliers` takes transformed statistics x and, for each group of
-(lang, source), finds a minimum-covariance-determinant estimate by concentration steps: from medians and
-median absolute deviations, each step takes the share `h` of rows nearest to the current centre and makes
-their mean and covariance the next estimate. Distances use a Cholesky factor that is written out as column
-expressions, so estimates never leave the executors. Groups below `min_group` rows take the estimate of
-their language, and languages below it that of all rows.
+(lang, source), looks for the share `h` of rows whose covariance has the least determinant. It starts from three estimates: medians with
+median absolute deviations, medians with the covariance of spatial signs, and mean and covariance of all rows. A concentration
+step takes the `h` rows nearest to an estimate and makes their mean and covariance the next one; after two steps of each start the
+one with the least determinant goes on until its determinant settles. Covariances are made consistent with the normal distribution and
+regularised by a fixed diagonal (`FLOORS`), since most texts have no symbols or repeats at all: the determinant is that of their sum, which
+concentration steps lower as well. Distances use a Cholesky factor that is written out as column expressions, so estimates never leave the executors.
+
+A group below `min_group` rows is judged by the estimate of its language, made of all rows of the language, and a language below it by that of
+all rows of the table.
 """
 
 from __future__ import annotations
@@ -23,13 +27,14 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("x_words", "x_word_length", "x_symbols", "x_dup_lines", "x_repeats")
-#: Least variance of a transformed statistic. Most texts have no symbols or repeats at all, and without a floor
-#: the first one that has a few would be infinitely far away.
+#: Variances added to those of the transformed statistics. Without them the first text that has a few symbols would be infinitely far away.
 FLOORS = (0.25, 0.09, 0.16, 1.0, 1.0)
 #: Signs of deviations that are no harm: more words; fewer symbols, repeated lines and repeated words.
 HARMLESS = (1, 0, -1, -1, -1)
 #: Groups of up to so many rows of estimates are broadcast; beyond it they are joined by key.
 BROADCAST_GROUPS = 100_000
+#: A step that moves the logarithm of a determinant by less than this is the last.
+SETTLED = 1e-3
 #: Up to so many repeated fingerprints of a text are looked up one by one; with more, all its windows are sorted.
 FEW = 64
 
@@ -112,18 +117,57 @@ def factor_columns(d: int, floors: tuple[float, ...]) -> list[tuple[str, Column]
     return out
 
 
-def _estimates(rows: DataFrame, d: int, floors: tuple[float, ...]) -> DataFrame:
-    """Mean and Cholesky factor per group of the rows given."""
-    x = [f"x{i}" for i in range(d)]
-    sums = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(x)], *[F.avg(F.col(x[i]) * F.col(x[j])).alias(f"q_{i}_{j}") for i in range(d) for j in range(i + 1)])
-    est = sums.select("g", *[f"m_{i}" for i in range(d)], *[(F.col(f"q_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}")).alias(f"c_{i}_{j}") for i in range(d) for j in range(i + 1)])
+def _names(d: int) -> tuple[list[str], list[tuple[int, int]]]:
+    return [f"x{i}" for i in range(d)], [(i, j) for i in range(d) for j in range(i + 1)]
+
+
+def _factored(est: DataFrame, d: int, floors: tuple[float, ...]) -> DataFrame:
+    """(g, start, m_i, l_i_j, logdet) from columns m_i and c_i_j."""
     for name, value in factor_columns(d, floors):
         est = est.withColumn(name, value)
-    return est.select("g", *[f"m_{i}" for i in range(d)], *[f"l_{i}_{j}" for i in range(d) for j in range(i + 1)])
+    logdet = sum((2 * F.log(F.col(f"l_{i}_{i}")) for i in range(1, d)), 2 * F.log(F.col("l_0_0")))
+    return est.select("g", "start", *[f"m_{i}" for i in range(d)], *[f"l_{i}_{j}" for i, j in _names(d)[1]], logdet.alias("logdet"))
+
+
+def _with(rows: DataFrame, est: DataFrame, small: bool, *on: str) -> DataFrame:
+    return rows.join(F.broadcast(est) if small else est, list(on) or ["g"])
+
+
+def _starts(rows: DataFrame, d: int, floors: tuple[float, ...], small: bool) -> DataFrame:
+    """Three estimates of each group, from all its rows."""
+    x, pairs = _names(d)
+    mid = shared.table(rows.groupBy("g").agg(*[F.percentile_approx(c, 0.5).alias(f"m_{i}") for i, c in enumerate(x)]), "medians")
+    spread = _with(rows, mid, small).groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{i}")), 0.5).alias(f"d_{i}") for i, c in enumerate(x)])
+    scaled = [F.sqrt(F.pow(1.4826 * F.col(f"d_{i}"), F.lit(2.0)) + floors[i]).alias(f"s_{i}") for i in range(d)]
+    scales = shared.table(mid.join(spread, "g").select("g", *[f"m_{i}" for i in range(d)], *scaled), "spreads")
+    signs = _with(rows, scales, small).select("g", *x, *[((F.col(c) - F.col(f"m_{i}")) / F.col(f"s_{i}")).alias(f"z{i}") for i, c in enumerate(x)])
+    norm = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, d)), F.col("z0") * F.col("z0"))
+    moments = signs.withColumn("norm", F.greatest(norm, F.lit(1e-12))).groupBy("g").agg(
+        *[F.avg(c).alias(f"a_{i}") for i, c in enumerate(x)],
+        *[F.avg(F.col(x[i]) * F.col(x[j])).alias(f"q_{i}_{j}") for i, j in pairs],
+        *[F.avg(d * F.col(f"z{i}") * F.col(f"z{j}") / F.col("norm")).alias(f"u_{i}_{j}") for i, j in pairs],
+    )
+    centre = [F.col(f"m_{i}") for i in range(d)]
+    kinds = (
+        (centre, {(i, j): F.pow(f"s_{i}", F.lit(2.0)) - floors[i] if i == j else F.lit(0.0) for i, j in pairs}),
+        (centre, {(i, j): F.col(f"u_{i}_{j}") * F.col(f"s_{i}") * F.col(f"s_{j}") for i, j in pairs}),
+        ([F.col(f"a_{i}") for i in range(d)], {(i, j): F.col(f"q_{i}_{j}") - F.col(f"a_{i}") * F.col(f"a_{j}") for i, j in pairs}),
+    )
+    one = lambda k, m, c: F.struct(F.lit(k).alias("start"), *[v.alias(f"m_{i}") for i, v in enumerate(m)], *[c[i, j].alias(f"c_{i}_{j}") for i, j in pairs])
+    each = scales.join(moments, "g").select("g", F.explode(F.array(*[one(k, m, c) for k, (m, c) in enumerate(kinds)])).alias("e")).select("g", "e.*")
+    return _factored(each, d, floors)
 
 
-def _with(rows: DataFrame, est: DataFrame, small: bool) -> DataFrame:
-    return rows.join(F.broadcast(est) if small else est, "g")
+def _concentrated(rows: DataFrame, est: DataFrame, d: int, share: float, floors: tuple[float, ...], small: bool) -> DataFrame:
+    """The estimates after one step: mean and covariance of the share of rows nearest to each."""
+    x, pairs = _names(d)
+    far = _with(rows, est, small).select("g", "start", *x, _far(d).alias("far"))
+    limit = far.groupBy("g", "start").agg(F.percentile_approx("far", share).alias("limit"))
+    near = _with(far, limit, small, "g", "start").filter("far <= limit")
+    sums = near.groupBy("g", "start").agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(x)], *[F.avg(F.col(x[i]) * F.col(x[j])).alias(f"q_{i}_{j}") for i, j in pairs])
+    factor = consistency(share, d)
+    covariance = [(factor * (F.col(f"q_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}"))).alias(f"c_{i}_{j}") for i, j in pairs]
+    return _factored(sums.select("g", "start", *[f"m_{i}" for i in range(d)], *covariance), d, floors)
 
 
 def _far(d: int, harmless: tuple[int, ...] | None = None) -> Column:
@@ -142,38 +186,75 @@ def _far(d: int, harmless: tuple[int, ...] | None = None) -> Column:
     return total
 
 
-def robust_outliers(stats: DataFrame, keep: list[str], share: float = 0.75, steps: int = 3, min_group: int = 200, floors: tuple[float, ...] = FLOORS) -> DataFrame:
+def _named(column: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(column)), F.lit("-"))
+
+
+def group_name() -> Column:
+    return F.concat_ws("\x1f", _named("lang"), _named("source"))
+
+
+def levels(docs: DataFrame, min_group: int) -> DataFrame:
+    """(k, g, also) for each (lang, source), named k: the level that judges its rows, and all levels whose estimates they are part of."""
+    sizes = shared.table(docs.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")).select(group_name().alias("k"), _named("lang").alias("l"), "n"), "groups")
+    langs = sizes.groupBy("l").agg(F.sum("n").alias("m"), F.min("n").alias("least"))
+    none = F.array().cast("array<string>")
+    rest = F.array(F.lit("")) if langs.filter(F.col("m") < min_group).limit(1).count() else none
+    own = F.when(F.col("n") >= min_group, F.col("k")).when(F.col("m") >= min_group, F.col("l")).otherwise("")
+    wide = F.when((F.col("m") >= min_group) & (F.col("least") < min_group), F.array("l")).otherwise(none)
+    return sizes.join(langs, "l").select("k", own.alias("g"), F.array_distinct(F.concat(F.array(own), wide, rest)).alias("also"))
+
+
+def robust_outliers(stats: DataFrame, keep: list[str], share: float = 0.75, most_steps: int = 20, min_group: int = 200, floors: tuple[float, ...] = FLOORS) -> DataFrame:
     """The columns `keep` of stats with `distance`, the squared robust Mahalanobis distance within (lang, source), and `harm`.
 
     `harm` is the distance of the deviations that aren't harmless, and never more than `distance`.
-    Null lang or source is a group value of its own. Rows of an empty table have no estimate and there are none.
+    Null lang or source is a group value of its own. Rows of an empty table have no estimate and there are none. Steps end when no
+    determinant's logarithm moves by more than SETTLED, at the latest after `most_steps`.
     """
     d = len(FEATURES)
-    spark = stats.sparkSession
-    rows = stats.select(F.struct(*keep).alias("__row"), F.struct("lang", "source").alias("__g"), *[c.alias(f"x{i}") for i, c in enumerate(transformed())])
-    sizes = rows.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
-    by_lang = sizes.groupBy(F.col("__g.lang").alias("__l")).agg(F.sum("__n").alias("__m"))
-    levels = sizes.join(by_lang, F.col("__g.lang").eqNullSafe(F.col("__l")), "left")
-    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    levels = levels.select(F.concat_ws("\x1f", name("__g.lang"), name("__g.source")).alias("__k"), F.when(F.col("__n") >= min_group, F.concat_ws("\x1f", name("__g.lang"), name("__g.source"))).when(F.col("__m") >= min_group, name("__g.lang")).otherwise("").alias("g"))
-    levels = shared.table(levels, "groups")
-    small = levels.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    rows = rows.withColumn("__k", F.concat_ws("\x1f", name("__g.lang"), name("__g.source"))).drop("__g")
-    rows = rows.join(F.broadcast(levels) if small else levels, "__k").drop("__k")
-    rows = shared.table(rows, "statistics")
-    x = [f"x{i}" for i in range(d)]
-    mid = rows.groupBy("g").agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"m_{i}") for i, c in enumerate(x)])
-    spread = _with(rows, mid, small).groupBy("g").agg(*[F.first(f"m_{i}").alias(f"m_{i}") for i in range(d)], *[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{i}")), 0.5, 1000).alias(f"s_{i}") for i, c in enumerate(x)])
-    est = spread.select("g", *[f"m_{i}" for i in range(d)], *[(F.sqrt(F.pow(1.4826 * F.col(f"s_{i}"), 2) + floors[i]) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(d) for j in range(i + 1)])
-    for step in range(steps):
-        est = shared.table(est, f"estimate{step}")
-        far = _with(rows, est, small).select("g", *x, _far(d).alias("far"))
-        limit = far.groupBy("g").agg(F.percentile_approx("far", share, 1000).alias("limit"))
-        est = _estimates(_with(far, limit, small).filter("far <= limit"), d, floors)
-    est = shared.table(est, "estimate")
+    known = shared.table(levels(stats, min_group), "levels")
+    small = known.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    rows = stats.select(F.struct(*keep).alias("__row"), group_name().alias("k"), *[c.alias(f"x{i}") for i, c in enumerate(transformed())])
+    rows = shared.table(_with(rows, known, small, "k").drop("k"), "statistics")
+    each = rows.select(F.explode("also").alias("g"), *_names(d)[0])
+    est = shared.table(_starts(each, d, floors, small), "starts")
+    for _ in range(2):
+        est = shared.table(_concentrated(each, est, d, share, floors, small), "estimates")
+    best = est.groupBy("g").agg(F.min_by(F.struct(*est.columns[1:]), F.struct("logdet", "start")).alias("e")).select("g", "e.*")
+    est = shared.table(best, "best")
+    for _ in range(most_steps):
+        new = shared.table(_concentrated(each, est, d, share, floors, small), "estimates")
+        moved = new.select("g", "logdet").join(est.select("g", F.col("logdet").alias("before")), "g").filter(F.abs(F.col("logdet") - F.col("before")) > SETTLED).limit(1).count()
+        est = new
+        if not moved:
+            break
     return _with(rows, est, small).select("__row.*", _far(d).alias("distance"), F.least(_far(d), _far(d, HARMLESS)).alias("harm"))
 
 
+def chi_square(x: float, k: int) -> float:
+    """The distribution function, by the series of the incomplete gamma function."""
+    if x <= 0:
+        return 0.0
+    a, h = k / 2, x / 2
+    term = total = 1 / a
+    n = a
+    while term > total * 1e-15:
+        n += 1
+        term *= h / n
+        total += term
+    return total * math.exp(a * math.log(h) - h - math.lgamma(a))
+
+
+def consistency(share: float, d: int) -> float:
+    """What the covariance of the nearest `share` of normal rows is short of, as a factor."""
+    low, high = 0.0, 1e4
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, d) < share else (low, middle)
+    return share / chi_square(low, d + 2)
+
+
 def chi_square_quantile(p: float, k: int) -> float:
     """Wilson and Hilferty's approximation."""
     from statistics import NormalDist
@@ -198,7 +279,6 @@ def judge(docs: DataFrame, keep: list[str] | None = None, limit: float | None =
     limit = chi_square_quantile(0.9999, len(FEATURES)) if limit is None else limit
     base = docs.select(*[F.col(c).alias(f"in_{c}") for c in keep or []], "doc_id", "text", "lang", "source")
     stats = statistics(base).drop("text")
-    stats = shared.table(stats, "counts")
     carried = [c for c in stats.columns if c not in ("lang", "source")]
     out = robust_outliers(stats, carried, **mcd)
     failed = base_failed()
