@@ -17,19 +17,11 @@ WIDTH, PERCENT = 5, 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def verdict_key() -> list:
-    """128 bits of all that a verdict of quality depends on, and of the id; never null."""
-    columns = ["doc_id", "text", "lang", "source"]
-    parts = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
-    return [F.xxhash64(F.lit(seed), *parts).alias(f"__k{seed}") for seed in (1, 2)]
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or the robust distance reject go. Each row is judged by itself, whatever its doc_id: null or repeated ids stay as they are."""
+    """Documents that the rules or the robust distance reject go. Each row is carried through its verdict, so null or repeated ids stay as they are and no text is shuffled."""
     shared.ship(spark)
-    keyed = docs.select(*COLUMNS, *verdict_key())
-    kept = quality.judge(keyed, keep=["__k1", "__k2"]).filter("kept").select(F.col("in___k1").alias("__k1"), F.col("in___k2").alias("__k2")).distinct()
-    return keyed.join(kept, ["__k1", "__k2"], "left_semi").select(COLUMNS)
+    kept = quality.judge(docs, keep=COLUMNS).filter("kept")
+    return kept.select(*[F.col(f"in_{c}").alias(c) for c in COLUMNS])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
