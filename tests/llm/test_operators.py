@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from trestle.llm import components, decontaminate, language, nearjoin, packing, pages, quality, quotations, queries, replies, secretscan, shared, substring, warc
+from trestle.llm import components, decontaminate, language, nearjoin, packing, pages, quality, quotations, queries, replies, secretscan, shared, substring, warc, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, g string, far double, token string, words int, id string"
 
@@ -198,12 +198,53 @@ def test_substring(docs, empty, spark):
 def test_substring_collisions():
     import numpy as np
 
-    ids = np.array([1, 2, 1, 2, 3, 4, 1, 2], dtype=np.int32)
-    starts = np.array([0, 2, 4, 6])
-    gone = substring.later(ids, starts, starts, (np.array([1, 2, 3, 4]), np.zeros(4, dtype=np.int64)), np.zeros(4, dtype=np.uint64), 2)
+    text = b"1 2 1 2 3 4 1 2"
+    gone = substring.later(words.padded(text), np.array([0, 4, 8, 12]), np.array([3, 3, 3, 3]), (np.array([1, 2, 3, 4]), np.zeros(4, dtype=np.int64)), np.zeros(4, dtype=np.uint64))
     assert gone.tolist() == [False, True, False, True]
 
 
+def test_words():
+    """Places, fingerprints and comparisons of words against Python's own split, in slices of a column with nulls and long words."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(31)
+    texts = [None, "", " ", "a", "b ", " c", *("".join(rng.choice(["ab", "é", " ", "\n", "\x0b", "Z", "\x1f", "日本", "\x00"]) for _ in range(rng.randint(0, 60))) for _ in range(200)), "x" * 1000 + " " + "x" * 1001, "tail"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    for part in (batch, batch.slice(3, 50), batch.slice(5, 1), batch.slice(0, 0), batch.slice(1, 1)):
+        for lower in (False, True):
+            found = words.Words(part, "text", lower)
+            split = [w for t in part.column(0).to_pylist() for w in ((t or "").encode().lower() if lower else (t or "").encode()).split()]
+            raw = found.buffer.tobytes()
+            assert [raw[s : s + n] for s, n in zip(found.start.tolist(), found.length.tolist(), strict=True)] == split
+            assert found.ends.tolist() == np.cumsum([len((t or "").encode().split()) for t in part.column(0).to_pylist()]).astype(int).tolist()
+            prints = words.fingerprints(found.buffer, found.start, found.length).tolist()
+            assert len(set(prints)) == len(set(split)) and len(set(zip(prints, split, strict=True))) == len(set(split))
+            if split:
+                other = np.random.default_rng(1).permutation(len(split))
+                same = words.equal(found.buffer, found.start, found.start[other], np.minimum(found.length, found.length[other]))
+                assert same.tolist() == [split[i].startswith(split[j]) or split[j].startswith(split[i]) for i, j in enumerate(other)]
+
+
+def test_common_phrase(spark):
+    """Texts that differ but for a phrase of four words don't meet in the phrase's bucket, and columns of any name stay."""
+    shared.ship(spark)
+    rng = random.Random(23)
+    for phrase in ("in accordance with the", "q w e r", "this is not a"):
+        texts = [" ".join(f"{rng.random():.12f}" for _ in range(24)) + f" {phrase} " + " ".join(f"{rng.random():.12f}" for _ in range(24)) for _ in range(800)]
+        frame = spark.createDataFrame([(i, t, i, 2 * i, "g", "r") for i, t in enumerate(texts)], "doc_id long, text string, doc long, key long, gone string, row string")
+        keyed = frame.select(F.col("doc_id").alias("__doc"), F.lit(0).cast("long").alias("__key"), "text")
+        common = spark.sparkContext.broadcast(substring.common_runs(keyed, 4))
+        rows = substring.pack(keyed.repartition(4), 20, 4, 64, common).collect()
+        size = {}
+        for r in rows:
+            size[r["bucket"]] = size.get(r["bucket"], 0) + len(r["blob"])
+        assert max(size.values()) < 3 * sorted(size.values())[len(size) // 2]
+    out = substring.repeated(frame)
+    assert out.columns == ["doc_id", "text", "doc", "key", "row", "gone"]
+    assert out.filter("gone is null and doc = doc_id and key = 2 * doc_id and row = 'r'").count() == 800
+
+
 def test_warc(spark, tmp_path):
     import base64
 

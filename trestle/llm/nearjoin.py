@@ -39,7 +39,7 @@ from . import words as W
 GROUPS = 128
 LEAF = 32
 #: A candidate component of more classes is dealt into blocks of about so many, and a set of holders into blocks of at most so many.
-BLOCK, SPLIT = 4096, 4096
+BLOCK, SPLIT = 512, 1024
 #: A token that prefixes hold more often has its holders dealt over several buckets from the start.
 HELD = 1 << 20
 #: Up to so many candidate documents (about 60 bytes each with their class) are broadcast; more are joined by shuffle.
@@ -52,11 +52,9 @@ MAX_LONG = (1 << 63) - 1
 def sets(batches: Iterator[pa.RecordBatch], width: int, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Each chunk with the sorted distinct shingle fingerprints of its texts."""
     for batch in W.chunks(batches, text):
-        ends, prints = [0], [np.empty(0, dtype=np.uint64)]
-        for t in W.texts(batch, text):
-            prints.append(W.fingerprints(t.lower().split()))
-            ends.append(ends[-1] + len(prints[-1]))
-        h = np.concatenate(prints)
+        words = W.Words(batch, text, lower=True)
+        h = W.fingerprints(words.buffer, words.start, words.length)
+        ends = [0, *words.ends.tolist()]
         grams = W.windows(h, width)
         out = []
         for a, b in zip(ends, ends[1:], strict=False):

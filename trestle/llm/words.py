@@ -14,32 +14,6 @@ import xxhash
 CHUNK_BYTES = 4 << 20
 
 
-class Fingerprints(dict):
-    """word -> 64-bit fingerprint; keeps at most `limit` words."""
-
-    def __init__(self, limit: int = 200_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = value
-        return value
-
-
-class Numbers(dict):
-    """word -> its place in the order in which words were first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        return number
-
-
-_fingerprints = Fingerprints()
-
-
 def _settle() -> None:
     """In a Python worker, blocks of a megabyte or more go back to the system when they are freed; workers outlive their tasks."""
     pa.set_memory_pool(pa.system_memory_pool())
@@ -58,7 +32,6 @@ if "pyspark.worker" in sys.modules:
 
 def trim() -> None:
     """Give freed memory back to the system, which a worker that waits for its next task would hold."""
-    _fingerprints.clear()
     pa.default_memory_pool().release_unused()
     give = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if give is not None:
@@ -92,8 +65,82 @@ def texts(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:
     return batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).fill_null(b"").to_pylist()
 
 
-def fingerprints(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_fingerprints.__getitem__, words), dtype=np.uint64, count=len(words))
+#: Bytes that separate words.
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Longer words are hashed one by one.
+_LONG = 256
+
+
+class Words:
+    """The words of a batch's texts as places in one buffer: `start` and `length` in bytes, `ends` the number of words up to and with each text."""
+
+    def __init__(self, batch: pa.RecordBatch, text: str = "text", lower: bool = False):
+        column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary()).fill_null(b"")
+        offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+        raw = column.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes() if len(column) and offsets[-1] > offsets[0] else b""
+        if lower:
+            raw = raw.lower()
+        at = offsets - offsets[0]
+        self.buffer = padded(raw)
+        space = _SPACE[self.buffer[: len(raw)]]
+        inside = at[at < len(raw)]
+        first = ~space
+        first[1:] &= space[:-1]
+        first[inside] = ~space[inside]
+        last = ~space
+        last[:-1] &= space[1:]
+        ends = at[at > 0] - 1
+        last[ends] = ~space[ends]
+        self.start = np.flatnonzero(first)
+        self.length = np.flatnonzero(last) + 1 - self.start
+        self.ends = np.searchsorted(self.start, at[1:])
+
+
+def padded(raw: bytes) -> np.ndarray:
+    """Bytes that can be read eight at a time from any place."""
+    return np.frombuffer(raw + bytes(8), dtype=np.uint8)
+
+
+def _eights(buffer: np.ndarray) -> np.ndarray:
+    return np.ndarray((len(buffer) - 7,), dtype="<u8", buffer=buffer, strides=(1,))
+
+
+def _some(x: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The first `rest` bytes of each eight."""
+    return x & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - 8 * np.clip(rest, 1, 8).astype(np.uint64)))
+
+
+def fingerprints(buffer: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints of words of at least one byte, eight bytes of all of them at a time."""
+    eights = _eights(buffer)
+    out = length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    live, at = np.flatnonzero(length <= _LONG), 0
+    while len(live):
+        rest = length[live] - at
+        out[live] = mix(out[live] ^ (_some(eights[start[live] + at], rest) * np.uint64(0xD6E8FEB86659FD93)))
+        live, at = live[rest > 8], at + 8
+    for i in np.flatnonzero(length > _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(buffer[start[i] : start[i] + length[i]])
+    return out
+
+
+def equal(buffer: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the `length` bytes at a and at b are equal, for each of many."""
+    eights = _eights(buffer)
+    out = np.ones(len(a), dtype=bool)
+    live, at = np.flatnonzero(length > 0), 0
+    while len(live):
+        rest = length[live] - at
+        same = _some(eights[a[live] + at] ^ eights[b[live] + at], rest) == 0
+        out[live[~same]] = False
+        live, at = live[same & (rest > 8)], at + 8
+    return out
+
+
+def places(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... `count` times, for each of many."""
+    at = np.cumsum(count) - count
+    return np.repeat(start - at, count) + np.arange(count.sum())
 
 
 def mix(x: np.ndarray) -> np.ndarray:
