@@ -266,6 +266,23 @@ def test_warc(spark, tmp_path):
     assert {r["page_id"]: r["record_type"] for r in small}[9] == "response"
 
 
+def test_warc_files(spark, tmp_path):
+    """Files are bounded by bytes: small pages stand together, large ones alone, and all are read back."""
+    shared.ship(spark)
+    rng = random.Random(17)
+    rows = [(i, f"http://h{i % 3}.example/{i}", "".join(rng.choice("abé") for _ in range(rng.choice([10, 3_000, 40_000, 300_000])))) for i in range(60)]
+    rows.append((100, "http://big.example/", "x" * 3_000_000))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "w")
+    got = warc.archive(frame, path, file_bytes=1 << 20).collect()
+    assert {r["page_id"]: r["payload_bytes"] for r in got} == {i: len(h.encode()) for i, _, h in rows}
+    assert sorted(r["position"] for r in got) == list(range(61))
+    sizes = {}
+    for r in got:
+        sizes.setdefault(r["file"], []).append(r["payload_bytes"])
+    assert all(sum(x) <= 1 << 20 or len(x) == 1 for x in sizes.values()) and max(map(len, sizes.values())) > 5 and len(sizes) < 50
+
+
 def test_merge(spark):
     shared.ship(spark)
     rng = random.Random(2)
@@ -273,7 +290,9 @@ def test_merge(spark):
     found = spark.createDataFrame(rows, warc.INDEX).repartition(7)
     out = warc.merge(found, rows_per_range=100).orderBy("range", "rank").collect()
     assert len({r["range"] for r in out}) > 5
-    assert [tuple(r)[:3] for r in out] == sorted(r[:3] for r in rows)
+    assert [tuple(r)[:3] for r in out] == sorted(r[:3] for r in rows) and [r["position"] for r in out] == list(range(2000))
+    few = warc.merge(found, rows_per_range=100, keys=60).orderBy("position").collect()
+    assert len({r["range"] for r in few}) == 3 and [tuple(r)[:3] for r in few] == sorted(r[:3] for r in rows)
     for k in (1, 2, 3, 6, 9):
         runs = [sorted((rng.randint(0, 50), i) for i in range(rng.randint(0, 20))) for _ in range(k)]
         assert list(warc.LoserTree(runs)) == sorted(x for r in runs for x in r)

@@ -1,32 +1,38 @@
 """WARC archives, and an index of captures by external merge.
 
 Pages become WARC records in uncompressed archives, written by Spark's own writer (so only files of committed tasks
-exist) and read back as whole files of bounded record counts. Of records with equal payloads, the one with the smallest page_id is the
+exist) and read back as whole files. Records are written by classes of size, each with its own number of records to a file, so that no file holds more
+than about `FILE_BYTES` of payload but for a single larger page. Of records with equal payloads, the one with the smallest page_id is the
 response and the others are revisits that carry no payload.
 
 The index: each task sorts the captures it has read into runs by (URL key, timestamp, page_id); a run is cut at global
-boundaries, and a range of the index merges its pieces of all runs with a loser tree. Boundaries are quantiles of a fixed number of hashed keys, and
-page_id is part of the order, so a URL or host with very many captures is cut like any other.
+boundaries into compressed blocks, and a range of the index merges its pieces of all runs with a loser tree, which has one block of each run unpacked.
+Boundaries are quantiles of a bounded number of hashed keys, and page_id is part of the order, so a URL or host with very many captures is cut like any other.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
-
+from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from . import shared
 
 CRLF = "\r\n"
-#: Records in one archive file.
-RECORDS = 2000
-RUN = 50_000
+#: Payload bytes of one archive file, unless a single page has more.
+FILE_BYTES = 128 << 20
+#: Records to a file, by classes of size: a class has pages of up to FILE_BYTES divided by its number, and the last one all others.
+RECORDS = (2048, 128, 8, 1)
+#: Captures that are sorted at once, and those of a compressed block.
+RUN, BLOCK = 50_000, 2_000
+#: Keys that may come to the driver for boundaries, and how many there are for each range.
+KEYS, EACH = 1_000_000, 20
 #: Up to so many repeated digests (about 60 bytes each) are broadcast.
 BROADCAST_FIRSTS = 500_000
 
@@ -38,12 +44,13 @@ def payload_digest(payload: Column) -> Column:
     return F.translate(F.concat(*[part(i) for i in range(4)]), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def with_types(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def with_types(pages: DataFrame, least_bytes: int = 0, seen: Observation | None = None) -> DataFrame:
     """pages with payload, payload_bytes, payload_digest and refers_to (the response's page_id for a revisit, else null)."""
     base = pages.withColumn("payload", F.coalesce(F.col("html"), F.lit("")).cast("binary"))
     base = base.withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("payload_digest", payload_digest(F.col("payload")))
     # only digests that occur twice take part in the join, without their pages
-    firsts = base.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    counted = base if seen is None else base.observe(seen, F.max("payload_bytes").alias("largest"))
+    firsts = counted.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     # a bounded table of digests is broadcast, so that payloads stay where they are; a larger one is joined by shuffle
     firsts = shared.table(firsts, "firsts")
     small = firsts.limit(BROADCAST_FIRSTS + 1).count() <= BROADCAST_FIRSTS
@@ -74,10 +81,20 @@ def record(page: str = "page_id") -> Column:
     return F.concat(head, F.when(revisit, F.lit("")).otherwise(F.coalesce(F.col("html"), F.lit(""))))
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = 0, records: int = RECORDS) -> None:
-    """Archives in the folder `path`, of at most `records` records each."""
-    rows = with_types(pages.select("page_id", "url", "html"), least_bytes).select(record().alias("value"))
-    rows.write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", records).text(path)
+def write(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
+    """Archives in folders of `path`, one for each class of sizes that there is."""
+    if pages.isEmpty():
+        return
+    seen = Observation()
+    rows = with_types(pages.select("page_id", "url", "html"), least_bytes, seen)
+    largest = seen.get["largest"] or 0
+    low = -1
+    for records in RECORDS:
+        high = file_bytes // records if records > 1 else None
+        own = F.col("payload_bytes") > low if high is None else (F.col("payload_bytes") > low) & (F.col("payload_bytes") <= high)
+        if largest > low:
+            rows.filter(own).select(record().alias("value")).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", records).text(f"{path}/{records}")
+        low = high
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], int, int]]:
@@ -107,18 +124,16 @@ def surt(url: str) -> str:
 class LoserTree:
     """Merge of k sorted runs: the winner's path is replayed against the losers kept in the nodes."""
 
-    def __init__(self, runs: list[list[tuple]]):
-        self.runs, self.k = runs, len(runs)
-        self.at = [0] * self.k
+    def __init__(self, runs: Iterable[Iterable[tuple]]):
+        self.runs = [iter(r) for r in runs]
+        self.k = len(self.runs)
+        self.heads = [next(r, None) for r in self.runs]
         self.tree = [-1] * self.k
         for leaf in range(self.k):
             self._replay(leaf)
 
-    def _head(self, run: int) -> tuple | None:
-        return self.runs[run][self.at[run]] if self.at[run] < len(self.runs[run]) else None
-
     def _less(self, a: int, b: int) -> bool:
-        x, y = self._head(a), self._head(b)
+        x, y = self.heads[a], self.heads[b]
         if x is None or y is None:
             return x is not None or (y is None and a < b)
         return (x, a) < (y, b)
@@ -137,11 +152,12 @@ class LoserTree:
     def __iter__(self) -> Iterator[tuple]:
         if not self.k:
             return
-        while (item := self._head(self.tree[0])) is not None:
+        while (item := self.heads[self.tree[0]]) is not None:
             yield item
-            self.at[self.tree[0]] += 1
+            self.heads[self.tree[0]] = next(self.runs[self.tree[0]], None)
             self._replay(self.tree[0])
 
+
 INDEX = "url_key string, timestamp string, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, file string, record_offset long, record_length long"
 FIELDS = [x.split() for x in INDEX.split(", ")]
 
@@ -182,15 +198,16 @@ def _key(row: tuple) -> tuple:
     return row[0], row[1], row[2] is None, row[2] or 0, row[8], row[9]
 
 
-def merge(found: DataFrame, rows_per_range: int = 50_000, keys: int = 20_000) -> DataFrame:
-    """Captures in global order, with `range` (of the index, ascending) and `rank` (from 0 in its range)."""
+def merge(found: DataFrame, rows_per_range: int = 50_000, keys: int = KEYS) -> DataFrame:
+    """Captures in global order, with `range` (of the index, ascending), `rank` (from 0 in its range) and `position` (from 0 in the index)."""
     total = found.count()
-    ranges = max(1, -(-total // rows_per_range))
+    ranges = max(1, min(-(-total // rows_per_range), keys // EACH))
     cuts: list[tuple] = []
     if ranges > 1:
-        rate = F.pmod(F.xxhash64("url_key", "page_id"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, keys / total))
+        want = min(keys, ranges * max(EACH, 200))
+        rate = F.pmod(F.xxhash64("url_key", "page_id"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, want / total)) + 1
         # boundaries only share out the work: a bounded number of keys finds them
-        sample = sorted((r[0], r[1], r[2] is None, r[2] or 0) for r in found.filter(rate).select("url_key", "timestamp", "page_id").limit(2 * keys).collect())
+        sample = sorted((r[0], r[1], r[2] is None, r[2] or 0) for r in found.filter(rate).select("url_key", "timestamp", "page_id").limit(2 * want).collect())
         cuts = [sample[len(sample) * i // ranges] for i in range(1, ranges)] if sample else []
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,14 +215,20 @@ def merge(found: DataFrame, rows_per_range: int = 50_000, keys: int = 20_000) ->
 
         held: list[tuple] = []
         press = zstandard.ZstdCompressor(level=1)
+        run = TaskContext.get().partitionId() << 32
 
         def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal run
             held.sort(key=_key)
             groups: dict[int, list[tuple]] = {}
             for row in held:
                 groups.setdefault(bisect_right(cuts, _key(row)[:4]), []).append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(list(groups), pa.int32()), pa.array([press.compress(pickle.dumps(g)) for g in groups.values()], pa.binary())], ["range", "run"])
             held.clear()
+            blocks = [(number, run, k, g[k : k + BLOCK]) for number, g in groups.items() for k in range(0, len(g), BLOCK)]
+            run += 1
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            columns = zip(*((number, r, k, len(g), press.compress(pickle.dumps(g))) for number, r, k, g in blocks), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["range", "run", "block", "n", "rows"])
 
         for batch in batches:
             held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
@@ -214,17 +237,44 @@ def merge(found: DataFrame, rows_per_range: int = 50_000, keys: int = 20_000) ->
         if held:
             yield from flush()
 
-    def join(t: pa.Table) -> pa.Table:
-        runs = [[(_key(r), r) for r in pickle.loads(zstandard.ZstdDecompressor().decompress(x))] for x in t.column("run").to_pylist()]
-        rows = [r for _, r in LoserTree(sorted(runs, key=lambda r: r[0][0]))]
-        out = pa.Table.from_batches([_batch(rows)])
-        number = t.column("range")[0].as_py()
-        return out.append_column("range", pa.array([number] * len(rows), pa.int32())).append_column("rank", pa.array(range(len(rows)), pa.int64()))
-
-    return found.mapInArrow(sort, "range int, run binary").groupBy("range").applyInArrow(join, INDEX + ", range int, rank long")
-
-
-def archive(pages: DataFrame, path: str | None = None, least_bytes: int = 0) -> DataFrame:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs: dict[int, list[tuple[int, bytes]]] = {}
+        for batch in batches:
+            columns = {n: batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("range", "run", "block", "rows", "before")}
+            number, before = columns["range"][0], columns["before"][0]
+            for r, k, rows in zip(columns["run"], columns["block"], columns["rows"], strict=True):
+                runs.setdefault(r, []).append((k, rows))
+
+        def unpacked(blocks: list[tuple[int, bytes]]) -> Iterator[tuple]:
+            for _, rows in sorted(blocks):
+                for row in pickle.loads(zstandard.ZstdDecompressor().decompress(rows)):
+                    yield _key(row), row
+
+        rank, out = 0, []
+
+        def batch_of(rows: list[tuple], rank: int) -> pa.RecordBatch:
+            made = _batch(rows)
+            ranks = range(rank, rank + len(rows))
+            more = [pa.array([number] * len(rows), pa.int32()), pa.array(ranks, pa.int64()), pa.array([before + k for k in ranks], pa.int64())]
+            return pa.RecordBatch.from_arrays([*made.columns, *more], [*made.schema.names, "range", "rank", "position"])
+
+        for _, row in LoserTree(unpacked(runs[r]) for r in sorted(runs)):
+            out.append(row)
+            if len(out) == BLOCK:
+                yield batch_of(out, rank)
+                rank += len(out)
+                out = []
+        if out:
+            yield batch_of(out, rank)
+
+    runs = shared.table(found.mapInArrow(sort, "range int, run long, block int, n long, rows binary"), "runs")
+    # a row for each of at most keys / EACH ranges
+    counts = runs.groupBy("range").agg(F.sum("n").alias("n"))
+    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    return runs.join(F.broadcast(before), "range").groupBy("range").applyInArrow(join, INDEX + ", range int, rank long, position long")
+
+
+def archive(pages: DataFrame, path: str | None = None, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write pages as archives, read them back, and return the merged index.
 
     pages needs page_id, url and html; other columns are not read. A null html is an empty payload and a null url an empty
@@ -233,6 +283,8 @@ def archive(pages: DataFrame, path: str | None = None, least_bytes: int = 0) ->
     """
     spark = pages.sparkSession
     path = path or shared.new_path(spark, "warc")
-    write(pages, path, least_bytes)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    return merge(shared.table(captures(files), "captures"))
+    write(pages, path, least_bytes, file_bytes)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*")
+    if pages.isEmpty():
+        return spark.createDataFrame([], INDEX + ", range int, rank long, position long")
+    return merge(shared.table(captures(files.load(path)), "captures"))
