@@ -105,6 +105,62 @@ def test_language(docs, empty, spark):
     assert held == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, *_ in rows}
 
 
+def test_language_features():
+    """N-gram counts against a plain count, and a prediction against its formula."""
+    import numpy as np
+
+    def plain(text):
+        runs_ = "".join(chr(b) if 97 <= b <= 122 or b >= 128 else " " for b in text.lower()).split()
+        b = (" " + " ".join(runs_) + " ").encode("latin-1") if runs_ else b" "
+        out = [0] * language.BUCKETS
+        for n in range(1, min(language.GRAMS, len(b)) + 1):
+            for i in range(len(b) - n + 1):
+                value = 0
+                for c in b[i : i + n]:
+                    value = (value * 257 + c) % 2**32
+                out[((value + n * 0x51ED27) * 0x9E3779B1) % 2**32 >> int(language.SHIFT)] += 1
+        return out
+
+    for text in ("The end, of THIS.", "Größe 12 été", "日本", "!", "a"):
+        assert language.counts(text.encode()).tolist() == plain(text.encode())
+    rows = [("en", "the of and with"), ("de", "der und nicht ein"), ("fr", "les est pour une"), ("es", "los que por una")] * 5
+    model = language.Model([(a, language.sparse(language.features(t.encode()))) for a, t in rows])
+    x = np.array(plain(b"und nicht der")) ** 0.5
+    x /= (x @ x) ** 0.5
+    margins = {f: float(w[:-1] @ x + w[-1]) for f, w in zip(model.families, model.family_w, strict=True)}
+    best = max(margins, key=margins.get)
+    p = 1 / (1 + np.exp(-2 * (model.pairs["de", "en"][:-1] @ x + model.pairs["de", "en"][-1])))
+    share = 1 / sum(np.exp(2 * (m - margins[best])) for m in margins.values())
+    lang, score = model(b"und nicht der")
+    assert best == "germanic" and lang == "de" and abs(score - share * p) < 1e-5
+
+
+def test_language_sample(spark):
+    """Every language is learnt, however many there are; the rows asked for are bounded."""
+    shared.ship(spark)
+    rows = [(i * 40 + k, f"{chr(97 + i % 26)}{chr(97 + i // 26)}q{chr(97 + i % 26)}x word{chr(97 + i // 26)} " * 5, f"l{i:03}", i) for i in range(230) for k in range(3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, rate int")
+    model = language.train(table, per_language=3, most_rows=230)
+    assert sorted(a for m in model.members.values() for a in m) == sorted({r[2] for r in rows})
+    clash = spark.createDataFrame([(1, "the of", "x", 0.5, "y")], "doc_id long, text string, lang_pred string, score double, lang string")
+    assert language.predict(clash, model).columns == ["doc_id", "lang_pred", "score"]
+
+
+def test_held_out_accuracy(spark):
+    """Nineteen in twenty held-out documents of the small table or more are right."""
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    shared.ship(spark)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    known = docs.filter(language.held_out() & F.col("lang").isNotNull()).select("doc_id", "lang")
+    got = queries.op2_language(spark, folder).filter("held_out and lang_pred != 'und'").join(known, "doc_id")
+    right, n = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count(F.lit(1))).collect()[0]
+    assert n > 150 and right >= 0.95
+
+
 def test_secrets(docs, empty):
     out = secretscan.scan(docs)
     base = F.filter("secrets", lambda s: s["rank"] < 3)

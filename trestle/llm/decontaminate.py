@@ -13,7 +13,6 @@ by row. One block is the usual case.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ from . import words as W
 
 #: Every ASCII character but letters and digits separates words.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 
 
 def split(text: bytes) -> list[bytes]:
@@ -33,27 +32,31 @@ def split(text: bytes) -> list[bytes]:
 
 
 class Index:
-    """Windows of benchmark items, by number of words."""
+    """Windows of benchmark items by number of words: sorted fingerprints, the words behind them, and the items of each, all as arrays."""
 
     def __init__(self, items: list[tuple[int | None, bytes]], width: int):
         self.width = width
         self.words: dict[bytes, int] = {}
-        grouped: dict[int, dict[tuple[int, ...], set]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            ids = [self.words.setdefault(w, len(self.words) + 1) for w in split(text)]
-            n = min(width, len(ids))
-            for i in range(len(ids) - n + 1 if n else 0):
-                grouped[n][tuple(ids[i : i + n])].add(item)
-        self.prints, self.grams, self.items = {}, {}, {}
-        for n, found in grouped.items():
-            grams = np.array(list(found), dtype=np.int64).reshape(-1, n)
-            prints = np.array([W.windows(g.astype(np.uint64), n)[0] for g in grams], dtype=np.uint64)
+        self.names = [item for item, _ in items]
+        texts = [np.fromiter((self.words.setdefault(w, len(self.words) + 1) for w in split(text)), dtype=np.int32) for _, text in items]
+        self.prints, self.grams, self.owners = {}, {}, {}
+        for n in sorted({min(width, len(x)) for x in texts} - {0}):
+            own = [k for k, x in enumerate(texts) if min(width, len(x)) == n]
+            every = np.concatenate([np.lib.stride_tricks.sliding_window_view(texts[k], n) for k in own])
+            owner = np.repeat(np.array(own), [len(texts[k]) - n + 1 for k in own])
+            grams, of = np.unique(every, axis=0, return_inverse=True)
+            pairs = np.unique(np.column_stack([of.ravel(), owner]), axis=0)
+            prints = _prints(grams)
             order = np.argsort(prints, kind="stable")
-            owners = list(found.values())
-            self.prints[n], self.grams[n], self.items[n] = prints[order], grams[order], [owners[k] for k in order]
-
-    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int, set]]:
-        """(start, end, items) of each window of the index in a row of word ids, 0 for a word of no item."""
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order))
+            at = place[pairs[:, 0]]
+            self.prints[n], self.grams[n] = prints[order], grams[order]
+            # the items of window j: from ends[j] to ends[j + 1]
+            self.owners[n] = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(order)))]), pairs[np.argsort(at, kind="stable"), 1].astype(np.int32)
+
+    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(start, end, items' numbers) of each window of the index in a row of word ids, 0 for a word of no item."""
         for n, prints in self.prints.items():
             if len(ids) < n:
                 continue
@@ -64,15 +67,22 @@ class Index:
             got = W.windows(ids.astype(np.uint64), n)[starts]
             at = np.searchsorted(prints, got)
             likely = np.flatnonzero((at < len(prints)) & (prints[np.minimum(at, len(prints) - 1)] == got))
+            ends, owners = self.owners[n]
             for k in likely:
                 start, j = int(starts[k]), int(at[k])
                 while j < len(prints) and prints[j] == got[k]:
                     if np.array_equal(self.grams[n][j], ids[start : start + n]):
-                        yield start, start + n, self.items[n][j]
+                        yield start, start + n, owners[ends[j] : ends[j + 1]]
                         break
                     j += 1
 
 
+def _prints(grams: np.ndarray) -> np.ndarray:
+    """Fingerprints of rows of word ids, as of windows."""
+    out = grams[:, 0].astype(np.uint64)
+    for k in range(1, grams.shape[1]):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + grams[:, k].astype(np.uint64)
+    return W.mix(out)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -103,7 +113,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_words: in
                     if ids.any():
                         for start, end, who in found.hits(ids):
                             ranges.append((start, end))
-                            own |= who
+                            own.update(found.names[k] for k in who.tolist())
                     n_words.append(len(words))
                     spans.append(merged(ranges))
                     items.append(sorted(x for x in own if x is not None))

@@ -3,9 +3,9 @@
 Features of a whole text are hashed character n-grams (one to `GRAMS` bytes within space-padded, lower-cased letter
 runs), counted, damped by square root and scaled to length one. A linear model first predicts the language family;
 within the family, one-versus-one linear support vector machines vote between its languages. Both are trained here by
-dual coordinate descent on a bounded sample of labelled rows: about `per_language` rows of each language, chosen by a hash of
-doc_id. The sample is the only thing that comes to the driver; the model that goes back has a size fixed by `BUCKETS` and
-the number of languages.
+dual coordinate descent on a bounded sample of labelled rows: about `per_language` rows of each language, and fewer of each if there are so many languages that
+it would be more than `most_rows` in all (but never fewer than `LEAST_ROWS`), chosen by a hash of doc_id. Their features come to the driver, at most 6 * BUCKETS bytes for each, and no text does; the
+model that goes back has a size fixed by `BUCKETS` and the number of languages. Every language that has a labelled row is learnt.
 
 Families come from a table of common languages; a language that is not listed is a family of its own.
 """
@@ -26,9 +26,7 @@ BUCKETS = 1 << 13
 #: Keeps the top bits of a 32-bit hash.
 SHIFT = np.uint32(32 - (BUCKETS - 1).bit_length())
 GRAMS = 3
-PER_LANGUAGE = 800
-#: Rows of at most so many languages are used, the most frequent ones.
-MOST_LANGUAGES = 200
+PER_LANGUAGE, MOST_ROWS, LEAST_ROWS = 800, 12_000, 30
 #: Families of common languages.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is fy lb af",
@@ -69,28 +67,37 @@ def features(text: bytes) -> np.ndarray:
     return x / norm if norm else x
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 4.0, passes: int = 8) -> np.ndarray:
+Row = tuple[np.ndarray, np.ndarray]
+
+
+def sparse(x: np.ndarray) -> Row:
+    at = np.flatnonzero(x)
+    return at, x[at]
+
+
+def svm(x: list[Row], y: np.ndarray, c: float = 4.0, passes: int = 8) -> np.ndarray:
     """Weights (with the bias last) of a linear support vector machine with hinge loss, by dual coordinate descent."""
-    w = np.zeros(x.shape[1] + 1, dtype=np.float64)
+    w = np.zeros(BUCKETS + 1, dtype=np.float64)
     alpha = np.zeros(len(x))
-    q = (x * x).sum(axis=1) + 1.0
+    q = [float(v @ v) + 1.0 for _, v in x]
     rng = np.random.default_rng(7)
     for _ in range(passes):
         for i in rng.permutation(len(x)):
-            g = y[i] * (x[i] @ w[:-1] + w[-1]) - 1.0
+            at, v = x[i]
+            g = y[i] * (w[at] @ v + w[-1]) - 1.0
             new = min(max(alpha[i] - g / q[i], 0.0), c)
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
-                w[:-1] += step * x[i]
+                w[at] += step * v
                 w[-1] += step
                 alpha[i] = new
     return w.astype(np.float32)
 
 
 class Model:
-    def __init__(self, rows: list[tuple[str, bytes]]):
+    def __init__(self, rows: list[tuple[str, Row]]):
         langs = sorted({lang for lang, _ in rows})
-        x = np.array([features(t) for _, t in rows], dtype=np.float32).reshape(len(rows), BUCKETS)
+        x = [r for _, r in rows]
         lang = np.array([a for a, _ in rows])
         family = np.array([FAMILY_OF.get(a, a) for a in lang])
         self.families = sorted(set(family.tolist()))
@@ -99,8 +106,8 @@ class Model:
         self.pairs = {}
         for f in self.families:
             for a, b in combinations(self.members[f], 2):
-                own = (lang == a) | (lang == b)
-                self.pairs[a, b] = svm(x[own], np.where(lang[own] == a, 1.0, -1.0))
+                own = np.flatnonzero((lang == a) | (lang == b))
+                self.pairs[a, b] = svm([x[k] for k in own], np.where(lang[own] == a, 1.0, -1.0))
 
     def __call__(self, text: bytes) -> tuple[str, float]:
         """The language and a score from 0 to 1: the family's share times the language's share of the logistic margins."""
@@ -129,23 +136,38 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> Model | None:
     """A model from the labelled rows of docs (doc_id, text, lang); None if there are none.
 
     The number of rows of each language is counted over all rows; then rows go in by a hash of their id, at the rate that
-    gives about `per_language` of each.
+    gives about `per_language` of each, or all if there are no more. Languages of few rows go in whole, however many languages there are.
     """
     usable = docs.filter(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    found = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    if not found:
+    found = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    known = found.collect()  # a row for each language
+    if not known:
         return None
-    limit = F.lit(None).cast("double")
-    for r in found:
-        limit = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["n"]))).otherwise(limit)
+    each = min(per_language, max(LEAST_ROWS, most_rows // len(known)))
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"])) for r in known], "lang string, rate double")
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    rows = usable.filter(drawn < limit).select("doc_id", "lang", F.col("text").cast("binary").alias("t")).orderBy("doc_id", "lang", "t").limit(2 * per_language * len(found)).collect()
-    rows = [(r["lang"], bytes(r["t"])) for r in rows if has_letter(bytes(r["t"]).decode())]
-    return Model(rows) if rows else None
+    rows = usable.select("doc_id", "lang", "text").join(F.broadcast(rates), "lang").filter(drawn < F.col("rate")).select("doc_id", "lang", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.chunks(batches):
+            keep, at, value = [], [], []
+            for k, text in enumerate(W.texts(batch)):
+                if has_letter(text.decode()):
+                    i, v = sparse(features(text))
+                    keep.append(k)
+                    at.append(i.astype("<u2").tobytes())
+                    value.append(v.astype("<f4").tobytes())
+            own = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(at, pa.binary()), pa.array(value, pa.binary())], ["doc_id", "lang", "at", "value"])
+
+    # a rare id that very many rows share can't bring more than twice the rows asked for
+    taken = rows.mapInArrow(run, "doc_id long, lang string, at binary, value binary").orderBy("doc_id", "lang", "at", "value").limit(2 * each * len(known)).collect()
+    x = [(r["lang"], (np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["value"], "<f4"))) for r in taken]
+    return Model(x) if x else None
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
