@@ -1,7 +1,8 @@
 """Zone maps: least and greatest value of each page of a column, and filters that skip pages by them.
 
-A page is `page_rows` consecutive rows of one file. Parquet has statistics of its own, which Spark uses by itself; an explicit
-map gives finer pages and counts of what was skipped.
+A page is `page_rows` consecutive rows of one file. The map says which files can have a match, and Spark lists only these; within a
+file, the filter goes to the Parquet reader, which skips row groups and, in tables that `store` wrote, the very pages of the map by the column index.
+Statistics come from the map, the files' footers and the pruned scan of matches: no page that the map rules out is read for them.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import ZoneMapError
+from ..errors import PageCorrupt, ZoneMapError
 
 PAGE_ROWS = 512
 SCHEMA = "file string, page_index long, row_count long, min long, max long"
+#: Up to so many files are listed by name; with more, the reader's own statistics do the skipping.
+LISTED = 10_000
 
 
 def _paged(df: DataFrame, columns: list[str], page_rows: int) -> DataFrame:
@@ -28,6 +31,13 @@ def build(df: DataFrame, column: str, page_rows: int = PAGE_ROWS) -> DataFrame:
     return rows.groupBy("file", "page_index").agg(F.count(F.lit(1)).alias("row_count"), F.min(column).alias("min"), F.max(column).alias("max"))
 
 
+def store(df: DataFrame, path: str, page_rows: int = PAGE_ROWS, rows_per_group: int = 1 << 20) -> DataFrame:
+    """Write a table whose Parquet pages are the pages of a map, and read it again."""
+    out = df.write.mode("overwrite").option("parquet.page.row.count.limit", page_rows).option("parquet.page.size.row.check.min", page_rows)
+    out.option("parquet.block.row.count.limit", rows_per_group).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def save(zones: DataFrame, path: str) -> None:
     zones.write.mode("overwrite").parquet(path)
 
@@ -57,7 +67,8 @@ def page_may_match(op: str, literal: int) -> Column:
 
 
 def _matches(column: str, op: str, literal: int) -> Column:
-    c, lit = F.col(column), F.lit(literal).cast("long")
+    # without a cast, so that the reader gets it
+    c, lit = F.col(column), F.lit(literal)
     return c > lit if op == ">" else c < lit if op == "<" else c == lit
 
 
@@ -68,21 +79,81 @@ class Pushdown:
     stats: DataFrame
 
 
+def _pruned(df: DataFrame, column: str, op: str, literal: int, zones: DataFrame | None) -> DataFrame:
+    """Rows that match, from files that the map doesn't rule out. A file that the map lacks is read."""
+    rows = df.filter(_matches(column, op, literal))
+    if zones is None:
+        return rows
+    files = zones.groupBy("file").agg(F.max(page_may_match(op, literal)).alias("open")).filter("not open").limit(LISTED + 1).collect()
+    return rows if not files or len(files) > LISTED else rows.filter(~F.col("_metadata.file_path").isin([r["file"] for r in files]))
+
+
 def filter_pages(df: DataFrame, column: str, op: str, literal: int, zones: DataFrame | None = None, others: list[str] | None = None, page_rows: int = PAGE_ROWS) -> Pushdown:
     """The rows that match, without pages that the map rules out. A page that the map lacks is scanned."""
     columns = list(dict.fromkeys([column, *(others or [])]))
-    paged = _paged(df, columns, page_rows)
-    kept = paged
-    if zones is not None:
-        out = zones.filter(~page_may_match(op, literal)).select("file", "page_index")
-        kept = paged.join(out, ["file", "page_index"], "left_anti")
-    rows = kept.filter(_matches(column, op, literal)).select(*columns)
-    pages = lambda x: x.groupBy("file", "page_index").agg(F.count(F.lit(1)).alias("n"), F.count_if(_matches(column, op, literal)).alias("k"))
-    scanned = pages(kept).agg(F.count(F.lit(1)).alias("pages_scanned"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows_scanned"), F.coalesce(F.sum("k"), F.lit(0)).alias("rows_kept"))
-    total = paged.select("file", "page_index").distinct().agg(F.count(F.lit(1)).alias("pages_total"))
-    # both sides are one row
-    stats = total.crossJoin(scanned).select("pages_total", (F.col("pages_total") - F.col("pages_scanned")).alias("pages_skipped"), "pages_scanned", "rows_scanned", "rows_kept")
-    return Pushdown(rows, stats)
+    matches = _pruned(df, column, op, literal, zones)
+    # counts of files come from their footers
+    files = df.select(F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
+    if zones is None:
+        known = files.select("rows", F.lit(0).cast("long").alias("pages"), F.lit(0).cast("long").alias("skipped"))
+    else:
+        out = zones.filter(~page_may_match(op, literal)).groupBy("file").agg(F.count(F.lit(1)).alias("pages"), F.sum("row_count").alias("skipped"))
+        known = files.join(out, "file", "left").select("rows", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("skipped", F.lit(0)).alias("skipped"))
+    sums = known.agg(
+        F.coalesce(F.sum(F.ceil(F.col("rows") / page_rows)), F.lit(0)).alias("pages_total"),
+        F.coalesce(F.sum("pages"), F.lit(0)).alias("pages_skipped"),
+        F.coalesce(F.sum(F.col("rows") - F.col("skipped")), F.lit(0)).alias("rows_scanned"),
+    )
+    # one row each
+    stats = sums.join(F.broadcast(matches.agg(F.count(F.lit(1)).alias("rows_kept"))))
+    stats = stats.select("pages_total", "pages_skipped", (F.col("pages_total") - F.col("pages_skipped")).alias("pages_scanned"), "rows_scanned", "rows_kept")
+    return Pushdown(matches.select(*[F.col(c).cast("long").alias(c) for c in columns]), stats)
+
+
+def check(df: DataFrame, column: str, zones: DataFrame, page_rows: int = PAGE_ROWS) -> None:
+    """Raise PageCorrupt for the first page whose rows aren't what the map says, or that only one of both has."""
+    at = ["file", "page_index"]
+    now = build(df, column, page_rows).select(*at, F.struct("row_count", "min", "max").alias("now"))
+    then = zones.select(*at, F.struct("row_count", "min", "max").alias("then"))
+    odd = now.join(then, at, "full").filter(~F.col("now").eqNullSafe(F.col("then"))).orderBy(*at).limit(1).collect()
+    if odd:
+        raise PageCorrupt(odd[0]["page_index"])
+
+
+class PageCursor:
+    """The pages of a table one after the other, each as a frame; a page that is skipped isn't read."""
+
+    def __init__(self, df: DataFrame, page_rows: int = PAGE_ROWS):
+        self.df, self.page_rows = df, page_rows
+        counts = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n")).orderBy("file").collect()
+        self.pages = [(r["file"], k) for r in counts for k in range(-(-r["n"] // page_rows))]
+        self.pages_emitted = 0
+
+    def next(self) -> DataFrame | None:
+        """The next page, or None after the last one."""
+        if self.pages_emitted >= len(self.pages):
+            return None
+        file, page = self.pages[self.pages_emitted]
+        self.pages_emitted += 1
+        row = F.col("_metadata.row_index")
+        return self.df.filter((F.col("_metadata.file_path") == file) & (row >= page * self.page_rows) & (row < (page + 1) * self.page_rows))
+
+    def skip(self) -> bool:
+        """Pass over the next page; False after the last one."""
+        self.pages_emitted += self.pages_emitted < len(self.pages)
+        return self.pages_emitted < len(self.pages)
+
+    def rewind(self) -> None:
+        self.pages_emitted = 0
+
+
+def execute_streaming(df: DataFrame, column: str, literal: int = 21, rows: int | None = None, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """The values of a column over the literal, as `stream`. With `rows`, the table must have so many: PageCorrupt names the first page that is short."""
+    if rows is not None:
+        found = df.count()
+        if found != rows:
+            raise PageCorrupt(min(found, rows) // page_rows)
+    return df.filter(_matches(column, ">", literal)).select(F.col(column).cast("long").alias("stream"))
 
 
 def filter_stream(df: DataFrame, column: str, literal: int, factor: int, page_rows: int = PAGE_ROWS) -> DataFrame:

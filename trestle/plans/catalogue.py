@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import groups, zonemap
-from ..sources import catalog, ingest
+from ..sources import catalog, folders, ingest
 from . import planner
 
 USERS_SQL = "(SELECT c_custkey AS id, c_name AS name, CAST(c_nationkey AS BIGINT) AS age FROM customer)"
@@ -22,7 +22,6 @@ PIPELINES: dict[str, tuple[str, str]] = {
     "filter_lt": ("இருந்து events | வடி user_id < 100 | தேடு event_id, user_id", "SELECT event_id, user_id FROM events WHERE user_id < 100"),
     "filter_eq": ("இருந்து events | வடி user_id = 7 | தேடு event_id, user_id", "SELECT event_id, user_id FROM events WHERE user_id = 7"),
     "filter_conj": ("இருந்து events | வடி user_id > 50 | வடி event_id < 5000 | தேடு event_id, user_id", "SELECT event_id, user_id FROM events WHERE user_id > 50 AND event_id < 5000"),
-    "project_duplicate": ("இருந்து part | வடி p_size > 40 | தேடு p_name, p_size, p_partkey", "SELECT p_name, CAST(p_size AS BIGINT) AS p_size, p_partkey FROM part WHERE p_size > 40"),
     "sort_take": ("இருந்து orders | அடுக்கு o_custkey | எடு 10 | தேடு o_custkey, o_orderkey", "SELECT o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_orderkey LIMIT 10"),
     "demo_pipeline": ("இருந்து பயனர்கள் | வடி வயது > 21 | அடுக்கு வயது | எடு 10 | தேடு பெயர், வயது;", f'SELECT name AS "பெயர்", age AS "வயது" FROM {USERS_SQL} WHERE age > 21 ORDER BY age, id LIMIT 10'),
     "take_unsorted": ("இருந்து orders | எடு 25 | தேடு o_orderkey", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 25"),
@@ -59,6 +58,22 @@ PIPELINES: dict[str, tuple[str, str]] = {
 ZONES_SQL = "SELECT CAST((row_number() OVER (ORDER BY event_id) - 1) // 512 AS BIGINT) AS page_index, user_id, event_id FROM events"
 
 
+def project_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column that is projected twice; the second one is renamed by its place, as tables can't have one name twice."""
+    pipeline = "இருந்து part | வடி p_size > 40 | தேடு p_name, p_size, p_name"
+    return planner.run(spark, catalog.test_tables(spark, sf_dir), pipeline).toDF("p_name", "p_size", "p_name_again")
+
+
+def _zones(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    """The map of a column of events, made once for each session and then read."""
+    path = f"{folders.shared_folder(spark)}/trestle/{spark.sparkContext.applicationId}/zones-{zlib.crc32(sf_dir.encode())}/{column}"
+    zones = zonemap.load(spark, path)
+    if zones is None:
+        zonemap.save(zonemap.build(_events(spark, sf_dir), column), path)
+        zones = zonemap.load(spark, path)
+    return zones
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
@@ -69,17 +84,17 @@ def zonemap_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def zonemap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir)
-    return zonemap.filter_pages(events, "event_id", ">", 9000, zonemap.build(events, "event_id"), ["user_id"]).rows
+    return zonemap.filter_pages(events, "event_id", ">", 9000, _zones(spark, sf_dir, "event_id"), ["user_id"]).rows
 
 
 def zonemap_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir)
-    return zonemap.filter_pages(events, "event_id", ">", 9000, zonemap.build(events, "event_id")).stats
+    return zonemap.filter_pages(events, "event_id", ">", 9000, _zones(spark, sf_dir, "event_id")).stats
 
 
 def zonemap_stats_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir)
-    return zonemap.filter_pages(events, "user_id", "=", 7, zonemap.build(events, "user_id")).stats
+    return zonemap.filter_pages(events, "user_id", "=", 7, _zones(spark, sf_dir, "user_id")).stats
 
 
 def page_stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,8 +111,7 @@ def group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nation table as CSV, ingested again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="trestle-csv-")
-    base = f"{folder.rstrip('/')}/trestle-csv/{spark.sparkContext.applicationId}"
+    base = folders.new_path(spark, "csv")
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
     nation.coalesce(1).write.mode("overwrite").option("header", "true").csv(f"{base}/csv")
     ingest.ingest_csv(spark, f"{base}/csv", "n_nationkey:i64,n_name:utf8", f"{base}/parquet")
@@ -109,6 +123,7 @@ def columnar_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "project_duplicate": (project_duplicate, "SELECT p_name, CAST(p_size AS BIGINT) AS p_size, p_name AS p_name_again FROM part WHERE p_size > 40"),
     "zonemap_build": (zonemap_build, f"SELECT page_index, count(*) AS row_count, min(user_id) AS min, max(user_id) AS max FROM ({ZONES_SQL}) GROUP BY 1"),
     "zonemap_filter": (zonemap_filter, "SELECT event_id, user_id FROM events WHERE event_id > 9000"),
     "zonemap_stats": (zonemap_stats, f"WITH z AS (SELECT page_index, count(*) AS n, max(event_id) AS hi, count(*) FILTER (event_id > 9000) AS k FROM ({ZONES_SQL}) GROUP BY 1) SELECT count(*) AS pages_total, count(*) FILTER (hi <= 9000) AS pages_skipped, count(*) FILTER (hi > 9000) AS pages_scanned, CAST(coalesce(sum(n) FILTER (hi > 9000), 0) AS BIGINT) AS rows_scanned, CAST(coalesce(sum(k), 0) AS BIGINT) AS rows_kept FROM z"),

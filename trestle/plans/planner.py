@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from threading import RLock
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,21 +19,26 @@ from pyspark.sql import types as T
 
 from .. import errors as E
 from ..functions import arithmetic
+from ..sources import folders
 from ..sources.catalog import ID, Catalog, Table, widened
 from . import parser as P
 
 COUNT = "எண்ணிக்கை"
+#: Spark's own limits are 32-bit numbers.
+MAX_LIMIT = (1 << 31) - 1
+_planning = RLock()
 
 
 @contextmanager
 def wrapping(spark: SparkSession) -> Iterator[None]:
-    """Integer arithmetic of expressions built inside wraps around, whatever the session's ANSI setting is."""
-    before = spark.conf.get("spark.sql.ansi.enabled")
-    spark.conf.set("spark.sql.ansi.enabled", "false")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", before)
+    """Integer arithmetic of expressions built inside wraps around, whatever the session's ANSI setting is; one planner at a time changes it."""
+    with _planning:
+        before = spark.conf.get("spark.sql.ansi.enabled")
+        spark.conf.set("spark.sql.ansi.enabled", "false")
+        try:
+            yield
+        finally:
+            spark.conf.set("spark.sql.ansi.enabled", before)
 
 
 @dataclass
@@ -138,7 +144,8 @@ class Planner:
                     raise E.ParseFailed(f"{name} is not a whole number")
                 s.order, s.moved = [col.internal, *s.order], True
             case P.Take(n):
-                s.df = s.df.orderBy(*s.order).limit(n) if s.order else s.df.limit(n)
+                ordered = s.df.orderBy(*s.order) if s.order else s.df
+                s.df = ordered.limit(n) if n <= MAX_LIMIT else first_rows(ordered, n)
                 s.moved = True
             case P.Project(names):
                 s.output = [(n, self.any(s, n)) for n in names]
@@ -243,6 +250,20 @@ class Planner:
         return df.select(*[F.col(c.internal).alias(n) for n, c in s.output])
 
 
+def first_rows(df: DataFrame, n: int) -> DataFrame:
+    """The first n rows of a sorted frame, for numbers beyond Spark's limits: it is written once, and whole files and a part of one file are read."""
+    rows = folders.written(df, "sorted")
+    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    left, whole, cut = n, [], None
+    for r in rows.groupBy(file.alias("f")).agg(F.count(F.lit(1)).alias("n")).orderBy("f").collect():  # a row for each sorted partition
+        if r["n"] > left:
+            cut = r["f"]
+            break
+        whole.append(r["f"])
+        left -= r["n"]
+    return rows if cut is None else rows.filter(file.isin(whole) | ((file == cut) & (row < left)))
+
+
 def _names(stage: P.Stage) -> set[str]:
     """Columns that a stage names."""
     match stage:
@@ -266,3 +287,19 @@ def run(spark: SparkSession, catalog: Catalog, source: str | bytes) -> DataFrame
     except E.ParserError as e:
         raise E.ParseFailed(f"{type(e).__name__}: {e}") from e
     return Planner(spark, catalog).plan(stages)
+
+
+@dataclass(frozen=True)
+class PageStats:
+    """What a query read of pages on disk."""
+
+    pages_total: int = 0
+    pages_skipped: int = 0
+    pages_scanned: int = 0
+    rows_scanned: int = 0
+    rows_kept: int = 0
+
+
+def run_checked(spark: SparkSession, catalog: Catalog, source: str | bytes) -> tuple[DataFrame, PageStats]:
+    """The result of a pipeline with its statistics, which are zero: catalog tables have no pages."""
+    return run(spark, catalog, source), PageStats()

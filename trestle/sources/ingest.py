@@ -1,16 +1,21 @@
-"""Strict CSV ingest into Parquet, with the first error in file order and its line number."""
+"""Strict CSV ingest into Parquet, with the first error in file order and its line number.
+
+A file is read once: its lines are parsed in Arrow batches and written to a staging folder, while the least place of an error and the number of rows are observed. Only a file
+without an error is moved to its place; for an error, the lines before it are counted in a second read.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import errors as E
+from . import folders
 
 #: Names of the two column types.
 TYPES = {"i64": "long", "int64": "long", "int": "long", "utf8": "string", "text": "string", "string": "string"}
@@ -63,61 +68,96 @@ def parse_line(line: str, number: int, schema: list[tuple[str, str]]) -> tuple:
     for value, (name, kind) in zip(fields, schema, strict=True):
         if kind == "long":
             v = value.strip()
-            if not INTEGER.fullmatch(v) or not -(1 << 63) <= int(v) < 1 << 63:
+            # very long numbers aren't converted at all
+            digits = v.lstrip("+-").lstrip("0") or "0"
+            if not INTEGER.fullmatch(v) or len(digits) > 19 or not -(1 << 63) <= (whole := int(v[0].strip("+0123456789") + digits)) < 1 << 63:
                 raise E.NumericParse(number, name, value)
-            out.append(int(v))
+            out.append(whole)
         else:
             out.append(value)
     return tuple(out)
 
 
+def has_bom(spark: SparkSession, path: str) -> bool:
+    """Whether the first file begins with a byte order mark, which Spark's reader drops."""
+    fs, p = folders.file_system(spark, path)
+    found = sorted((str(x.getPath()) for x in fs.globStatus(p) or []))
+    if found and fs.getFileStatus(folders.file_system(spark, found[0])[1]).isDirectory():
+        found = sorted(str(x.getPath()) for x in fs.listStatus(folders.file_system(spark, found[0])[1]) if not x.getPath().getName().startswith(("_", ".")))
+    if not found:
+        return False
+    stream = fs.open(folders.file_system(spark, found[0])[1])
+    try:
+        return [stream.read() for _ in range(3)] == [0xEF, 0xBB, 0xBF]
+    finally:
+        stream.close()
+
+
 def ingest_csv(spark: SparkSession, path: str, schema: str | list[tuple[str, str]], out_dir: str, has_header: bool = True) -> int:
     """Write the rows of a CSV file as Parquet and return their number. Nothing is written unless every line is valid."""
     columns = parse_schema(schema) if isinstance(schema, str) else schema
     try:
-        lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("value"))
+        lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("value"), F.monotonically_increasing_id().alias("at"))
+        mark = "\ufeff" if has_bom(spark, path) else ""
     except AnalysisException as e:
         raise E.IoError(str(e)) from e
-    numbered = lines.rdd.zipWithIndex()
+    folders.ship(spark)
     names = [n for n, _ in columns]
-
-    def bad_bytes(rows: Iterator) -> Iterator[int]:
-        for (value,), k in rows:
-            try:
-                bytes(value).decode()
-            except UnicodeDecodeError:
-                yield k
-                return
-
-    def parsed(rows: Iterator) -> Iterator[tuple]:
-        for (value,), k in rows:
-            line = bytes(value).decode().removesuffix("\r")
-            number = k + 1
-            if has_header and k == 0:
+    kinds = {"long": pa.int64(), "string": pa.string()}
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, faults = [], []
+            for raw, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                # the number of a line is its place in its partition here; what comes before is counted for the first error only
+                number = at + 1
                 try:
-                    if split_line(line, 1) != names:
-                        raise E.HeaderMismatch(line)
+                    line = (mark if at == 0 else "") + raw.decode().removesuffix("\r")
+                    if has_header and at == 0:
+                        if split_line(line, 1) != names:
+                            raise E.HeaderMismatch(line)
+                    elif line:
+                        rows.append(parse_line(line, number, columns))
+                except UnicodeDecodeError:
+                    faults.append((-1, "InvalidUtf8", ["0", "<file>"]))
                 except E.IngestError as e:
-                    yield number, type(e).__name__, _args(e), *[None] * len(columns)
-                continue
-            if not line:
-                continue
-            try:
-                yield None, None, None, *parse_line(line, number, columns)
-            except E.IngestError as e:
-                yield number, type(e).__name__, _args(e), *[None] * len(columns)
-
-    if numbered.mapPartitions(bad_bytes).take(1):
-        raise E.InvalidUtf8(0, "<file>")
-    kinds = {"long": T.LongType(), "string": T.StringType()}
-    struct = T.StructType([T.StructField("__line", T.LongType()), T.StructField("__error", T.StringType()), T.StructField("__args", T.ArrayType(T.StringType())), *[T.StructField(f"v{i}", kinds[k]) for i, (_, k) in enumerate(columns)]])
-    rows = spark.createDataFrame(numbered.mapPartitions(parsed), struct)
-    first = rows.filter("__line is not null").orderBy("__line").limit(1).collect()
-    if first:
-        raise _error(first[0]["__error"], first[0]["__args"])
-    good = rows.select(*[F.col(f"v{i}").alias(n) for i, (n, _) in enumerate(columns)])
-    good.write.mode("overwrite").parquet(out_dir)
-    return spark.read.parquet(out_dir).count()
+                    faults.append((at, type(e).__name__, _args(e)))
+            worst = min(faults, default=None)
+            arrays = [pa.array([r[i] for r in rows] + [None] * bool(worst), kinds[k]) for i, (_, k) in enumerate(columns)]
+            fault = [None] * len(rows) + ([{"at": worst[0], "name": worst[1], "args": worst[2]}] if worst else [])
+            kind = pa.struct([("at", pa.int64()), ("name", pa.string()), ("args", pa.list_(pa.string()))])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(fault, kind)], [*(f"v{i}" for i in range(len(columns))), "fault"])
+
+    struct = ", ".join([*(f"v{i} {'bigint' if k == 'long' else 'string'}" for i, (_, k) in enumerate(columns)), "fault struct<at:bigint,name:string,args:array<string>>"])
+    seen = Observation()
+    rows = lines.mapInArrow(parsed, struct).observe(seen, F.min("fault").alias("first"), F.count_if(F.col("fault").isNull()).alias("rows"))
+    staged = folders.new_path(spark, "ingest")
+    rows.filter("fault is null").select(*[F.col(f"v{i}").alias(n) for i, n in enumerate(names)]).write.parquet(staged)
+    found = seen.get
+    fs, source = folders.file_system(spark, staged)
+    if found["first"] is not None:
+        fs.delete(source, True)
+        raise _error(found["first"]["name"], _numbered(found["first"], lines))
+    target_fs, target = folders.file_system(spark, out_dir)
+    if target_fs.getUri().equals(fs.getUri()):
+        target_fs.delete(target, True)
+        target_fs.mkdirs(target.getParent()) if target.getParent() else None
+        if not fs.rename(source, target):
+            raise E.IoError(f"{staged} can't be moved to {out_dir}")
+    else:
+        spark.read.parquet(staged).write.mode("overwrite").parquet(out_dir)
+        fs.delete(source, True)
+    return found["rows"]
+
+
+def _numbered(fault, lines: DataFrame) -> list[str]:
+    """The arguments of an error, with the number of its line among all lines."""
+    args, at = list(fault["args"]), fault["at"]
+    if fault["name"] in ("HeaderMismatch", "InvalidUtf8") or at < 0:
+        return args
+    part = at >> 33
+    before = lines.filter(F.col("at") < F.lit(part << 33)).count() if part else 0
+    return [str(before + (at & ((1 << 33) - 1)) + 1), *args[1:]]
 
 
 def _args(e: E.IngestError) -> list[str]:
