@@ -112,3 +112,51 @@ def substring(docs, width: int = 20):
             seen.add(g)
         out[d] = (len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone)))
     return out
+
+
+def links(messages):
+    """(conv, turn) -> (parent, kind) of conversations without null or repeated turns, by comparing every message with all before it."""
+    mark = re.compile(r"[ \t]*((?:>[ \t]?)+)")
+    said = re.compile(r".{1,200}\bwrote:\s*$")
+
+    def plain(lines):
+        return " ".join(" ".join(lines).split()).lower()
+
+    def pieces(lines):
+        """(kind, normalised text) of a passage, its paragraphs and its lines."""
+        out, held = [(0, plain(lines))], []
+        for x in [*lines, ""]:
+            if x.strip():
+                held.append(x)
+            elif held:
+                out.append((1, plain(held)))
+                held = []
+        return [p for p in [*out, *((2, plain([x])) for x in lines)] if p[1]]
+
+    out, wrote = {}, defaultdict(list)
+    for conv, turn, text in sorted(messages, key=lambda m: m[:2]):
+        rows = []
+        for line in (text or "").split("\n"):
+            m = mark.match(line)
+            rows.append((m[1].count(">"), line[m.end() :]) if m else (0, line))
+        own = [x for k, (n, x) in enumerate(rows) if n == 0 and not (said.match(x.strip()) and any(a for a, _ in rows[k + 1 : k + 3]))]
+        best = None
+        passage, before = [], 0
+        passages = []
+        for n, x in [*rows, (0, "")]:
+            if n != before and passage:
+                passages.append((before, passage))
+                passage = []
+            if n:
+                passage.append(x)
+            before = n
+        for level, lines in passages:
+            for kind, p in pieces(lines):
+                for earlier, had in wrote[conv]:
+                    if p in had:
+                        key = (level, kind, -len(p), -earlier)
+                        best = key if best is None else min(best, key)
+        parent = -best[3] if best else max((t for t, _ in wrote[conv]), default=None)
+        out[conv, turn] = (parent, "quote" if best else "root" if parent is None else "previous")
+        wrote[conv].append((turn, {p for _, p in pieces(own)}))
+    return out

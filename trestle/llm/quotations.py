@@ -5,7 +5,7 @@ deeper is a quoted passage; an attribution line just before it goes with it. Pas
 normalised (marks, case and white space removed) and hashed paragraph by paragraph, so a passage that was wrapped anew or cut
 at a paragraph still has hashes in common with its original. Hashes of quoted paragraphs are joined to those of what earlier messages of the same
 conversation wrote themselves. At the lowest level with a common hash, whole passages go before paragraphs and these before lines, then
-longer pieces before shorter ones; the latest earlier message among equals is the parent.
+longer pieces before shorter ones, so greetings and the like decide only where nothing longer is found; the latest earlier message among equals is the parent.
 Messages that quote nothing found answer the one before them. Conversations are then put in the order of their reply trees.
 """
 
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import replies, shared
@@ -24,8 +24,8 @@ from . import replies, shared
 MARK = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 ATTRIBUTION = re.compile(r"(?:^On\b.*\bwrote:|^.{1,200}\b(?:wrote|writes|schrieb|a écrit|escribió)\s?:|^-{2,}\s*(?:Original|Forwarded) Message\s*-{2,})\s*$", re.I)
 SPACE = re.compile(r"\s+")
-#: Pieces of fewer characters, normalised, link nothing (they are greetings and the like) unless they are a whole message, quoted alone.
-LEAST = 8
+#: Turns of a conversation that are searched together.
+STRETCH = 4_096
 #: Messages in a part of an assembled conversation.
 PART = 100
 
@@ -50,7 +50,7 @@ def paragraphs(lines: list[str]) -> list[tuple[int, int, int]]:
     kept: dict[str, int] = {}
     for kind, p in pieces:
         n = normalised(p)
-        if len(n) >= LEAST or (n and kind == 0):
+        if n:
             kept.setdefault(n, kind)
     return sorted((xxhash.xxh3_64_intdigest(n) - (1 << 63), kind, len(n)) for n, kind in kept.items())
 
@@ -94,19 +94,18 @@ def link(messages: DataFrame) -> DataFrame:
     or conversation has no parent. position is the rank in the conversation's reply tree from 0, a parent before its children and
     siblings by turn, depth the number of messages above; both are null where turn or conversation is. An empty table gives no rows, and other columns are not read.
 
-    The join is by (conversation, hash); of the writers of one hash only the sorted turns are kept, and each
-    quoting message takes the latest one before it by a search, so a hash that very many messages share makes no pairs.
+    The join is by (conversation, hash); each quoting message takes the latest writer before it by a running maximum over stretches
+    of turns, so neither a hash that very many messages share nor a conversation of very many turns makes pairs or a task of its own.
     """
-    base = parts(messages)
+    # parsed once: the table is read for the links and for the texts
+    base = shared.table(parts(messages), "messages")
     # written and quoted hashes in one pass: those that nobody quotes end in the window
     written = F.transform("own_hashes", lambda h: F.struct(F.lit(0).alias("level"), h.alias("hash"), F.lit(0).alias("kind"), F.lit(0).alias("length")))
     both = base.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(F.concat(written, "quotes")).alias("q")).select("conv_id", "turn", "q.hash", "q.level", "q.kind", "q.length").distinct()
-    # the latest earlier writer of the hash: a running maximum, quotes before writers of the same turn
-    earlier = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    found = both.withColumn("writer", F.max(F.when(F.col("level") == 0, F.col("turn"))).over(earlier)).filter("level > 0 and writer is not null")
+    found = shared.greatest_before(both, ["conv_id", "hash"], "turn", F.when(F.col("level") == 0, F.col("turn")), "writer", STRETCH).filter("level > 0 and writer is not null")
     parents = found.groupBy("conv_id", "turn").agg(F.min(F.struct("level", "kind", (-F.col("length")).alias("short"), (-F.col("writer")).alias("back"))).alias("best"))
-    turns = messages.select("conv_id", "turn").filter("conv_id is not null and turn is not null").distinct()
-    previous = turns.withColumn("before", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")))
+    turns = base.select("conv_id", "turn").filter("conv_id is not null and turn is not null").distinct()
+    previous = shared.greatest_before(turns, ["conv_id"], "turn", F.col("turn"), "before", STRETCH)
     parent = F.coalesce(-F.col("best.back"), F.col("before"))
     kind = F.when(F.col("best").isNotNull(), "quote").when(F.col("before").isNotNull(), "previous").otherwise("root")
     links = shared.table(previous.join(parents, ["conv_id", "turn"], "left").select("conv_id", "turn", parent.alias("parent_turn"), kind.alias("link")), "links")

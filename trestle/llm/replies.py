@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
@@ -54,9 +54,11 @@ def _few(nodes: DataFrame) -> DataFrame:
 
 def _ranked(nodes: DataFrame) -> DataFrame:
     """List ranking by pointer doubling; turns without a parent hang one after the other, at depth 0."""
-    # the window sorts and streams: a turn with very many answers isn't held in memory, though its answers' three numbers pass one task
     child = nodes.groupBy("conv_id", F.col("parent_turn").alias("turn")).agg(F.min("turn").alias("child"))
-    sibling = nodes.withColumn("sibling", F.lead("turn").over(Window.partitionBy("conv_id", "parent_turn").orderBy("turn")))
+    # the next answer to the same turn, by stretches, as a turn may have very many answers; those without a parent are dealt as answers to nothing
+    back = nodes.select("conv_id", "turn", "parent_turn", (-F.col("turn")).alias("back"), F.struct(F.col("parent_turn").isNull().alias("top"), F.coalesce("parent_turn", F.lit(0)).alias("p")).alias("under"))
+    after = shared.greatest_before(back, ["conv_id", "under"], "back", F.col("back"), "next", SMALL)
+    sibling = after.select("conv_id", "turn", "parent_turn", (-F.col("next")).alias("sibling"))
     sibling = sibling.join(child.filter("turn is not null"), ["conv_id", "turn"], "left")
     # elements: 2 * turn enters, 2 * turn + 1 leaves
     element = lambda t, leave: F.struct(t.alias("turn"), F.lit(leave).alias("leave"))

@@ -3,46 +3,31 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
-import uuid
 import weakref
-import zipfile
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..sources import folders
 
 #: Bytes of an Arrow batch between the JVM and a Python worker, unless the session or the cluster sets it.
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
-_shipped: set[str] = set()
 _made: list[tuple[SparkSession, str]] = []
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where the setting is missing on a single machine, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="trestle-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     if not _made:
         atexit.register(_clean)
-    path = f"{shared_dir(spark)}/trestle/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = folders.new_path(spark, name)
     _made.append((spark, path))
     return path
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = folders.file_system(spark, path)
+    fs.delete(p, True)
 
 
 def _clean() -> None:
@@ -80,13 +65,19 @@ def ship(spark: SparkSession) -> None:
     """Give this package to the executors' Python, once for each application; each session gets small Arrow batches."""
     if BATCH_SETTING not in spark.conf.getAll:
         spark.conf.set(BATCH_SETTING, BATCH_BYTES)
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    _shipped.add(app)
-    package = Path(__file__).parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="trestle-ship-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(archive))
+    folders.ship(spark)
+
+
+def greatest_before(rows: DataFrame, keys: list[str], at: str, value: Column, name: str, stretch: int) -> DataFrame:
+    """rows with the greatest `value` of rows of equal keys whose `at`, a number, is smaller; null if there is none.
+
+    Rows of equal keys are dealt by stretches of `at`, so very many of them don't meet in one task: within a stretch a window looks back,
+    and what the stretches before it have goes along one small row for each stretch.
+    """
+    dealt = rows.withColumn("__v", value).withColumn("__s", F.floor(F.col(at) / stretch))
+    inside = Window.partitionBy(*keys, "__s").orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
+    tops = dealt.groupBy(*keys, "__s").agg(F.max("__v").alias("__t"))
+    behind = Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.withColumn("__b", F.max("__t").over(behind)).drop("__t")
+    found = dealt.withColumn("__i", F.max("__v").over(inside)).join(tops, [*keys, "__s"])
+    return found.withColumn(name, F.greatest("__i", "__b")).select(*rows.columns, name)
