@@ -2,10 +2,10 @@
 
 Each text run of a page belongs to a root-to-leaf path of tags with their classes and ids. Per path, the length of the text and
 its punctuation are summed, over links and all; the two ratios of a path are text per run and punctuation per run. Ratios
-are smoothed over neighbouring paths in page order, fused by their product, and paths over a share of the page's mean count as
-content. Paths through boilerplate (menus, headers, footers, notices, adverts, forms, comments, by tag, role or name) never
-do. The container of most content text is then taken whole: short blocks such as titles stand in it with little text of their
-own, and nothing in it is dropped but boilerplate.
+are smoothed over neighbouring paths of one parent in page order and fused by their product with a third factor, the evidence of the path's own elements: none for
+boilerplate (menus, headers, footers, notices, adverts, forms, comments, by tag, role or name). Paths over a share of the page's mean count as
+content, and their nodes are the text. Only short blocks that no path carries, such as titles and list items, are then taken from the container of the
+chosen nodes, where they stand among these.
 """
 
 from __future__ import annotations
@@ -59,7 +59,8 @@ class Node:
 
     def __init__(self, tag: str, name: str, parent: Node | None, never: bool):
         self.tag, self.parent, self.never = tag, parent, never
-        self.path = f"{parent.path}/{name}" if parent else name
+        # elements of one name may be boilerplate here and not there
+        self.path = (f"{parent.path}/{name}" if parent else name) + "!" * (never and not (parent and parent.never))
         self.text = 0
 
 
@@ -131,26 +132,31 @@ def parse(html: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
 def content_paths(found: list[tuple[Node, str, int]]) -> set[str]:
     """Paths whose smoothed and fused ratios are high enough."""
     order: dict[str, list[float]] = {}
+    chosen: dict[str, float] = {}
     for node, text, _ in found:
         size = len(text.strip())
-        if node.never or not size:
+        if not size:
+            continue
+        if node.never:
+            chosen[node.path] = 0.0  # no evidence for it, whatever its ratios
             continue
         s = order.setdefault(node.path, [0.0, 0.0, 0.0])
         s[0] += size
         s[1] += len(PUNCTUATION.findall(text))
         s[2] += 1
-    if not order:
-        return set()
     paths = list(order)
     text = [order[p][0] / order[p][2] for p in paths]
     marks = [1 + order[p][1] / order[p][2] for p in paths]
 
+    parents = [p.rpartition("/")[0] for p in paths]
+
     def smooth(x: list[float]) -> list[float]:
-        return [(2 * x[i] + (x[i - 1] if i else x[i]) + (x[i + 1] if i + 1 < len(x) else x[i])) / 4 for i in range(len(x))]
+        near = lambda i, j: x[j] if 0 <= j < len(x) and parents[i] == parents[j] else x[i]
+        return [(2 * x[i] + near(i, i - 1) + near(i, i + 1)) / 4 for i in range(len(x))]
 
-    fused = [a * b for a, b in zip(smooth(text), smooth(marks), strict=True)]
-    mean = sum(fused) / len(fused)
-    return {p for p, f in zip(paths, fused, strict=True) if f >= SHARE * mean}
+    chosen |= {p: a * b for p, a, b in zip(paths, smooth(text), smooth(marks), strict=True)}
+    mean = sum(chosen.values()) / max(1, len(paths))
+    return {p for p, f in chosen.items() if f >= SHARE * mean} if paths else set()
 
 
 def extract(html: str) -> str:
@@ -162,7 +168,7 @@ def extract(html: str) -> str:
         weight: dict[Node, int] = {}
         total = 0
         for node, text, _ in found:
-            if not node.never and node.path in chosen and not (plain and any(n.tag == "a" for n in above(node))):
+            if node.path in chosen and not (plain and any(n.tag == "a" for n in above(node))):
                 n = len(text.strip())
                 total += n
                 for up in above(node) if n else ():
@@ -179,7 +185,7 @@ def extract(html: str) -> str:
         titled = {up for node, text, _ in found if not node.never and text.strip() and any(n.tag == "h1" for n in above(node)) for up in above(node)}
         parts = [next((n for n in above(deepest) if n in titled and n.tag not in ("body", "html", "")), deepest)]
     roots = set(parts)
-    runs = [(k, node, text, block) for k, (node, text, block) in enumerate(found) if not node.never and any(n in roots for n in above(node))]
+    runs = [(k, node, text, block) for k, (node, text, block) in enumerate(found) if (node.path in chosen or not node.never) and any(n in roots for n in above(node))]
     chars: dict[Node, int] = {}
     links: dict[Node, int] = {}
     places = []
