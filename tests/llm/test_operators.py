@@ -89,6 +89,31 @@ def test_pack_costs():
     assert full[-1] < 1.6 * full[len(full) // 2]
 
 
+def test_pack_assignment():
+    """Against the rule, one piece after the other: the longest piece goes to the cheapest sequence with room for all of it, else to the cheapest with any."""
+    rng = random.Random(6)
+    for _ in range(60):
+        length = rng.choice([4, 8, 16])
+        lengths = [rng.choice([rng.randint(1, 3), rng.randint(1, 5 * length)]) for _ in range(rng.randint(0, 12))]
+        room = packing.capacities(sum(lengths), length)
+        assert sum(room) == sum(lengths) and all(c == length or c & (c - 1) == 0 for c in room)
+        cost, used, expected = [0.0] * len(room), [0] * len(room), []
+        pieces = [(min(length, n - at), i, at) for i, n in enumerate(lengths) for at in range(0, n, length)]
+        while pieces:
+            n, item, at = min(pieces, key=lambda p: (-p[0], p[1], p[2]))
+            pieces.remove((n, item, at))
+            k = min((k for k in range(len(room)) if room[k] >= n), key=lambda k: (cost[k], k), default=None)
+            if k is None:
+                k = min((k for k in range(len(room)) if room[k]), key=lambda k: (cost[k], k))
+                pieces.append((n - room[k], item, at + room[k]))
+                n = room[k]
+            expected.append((item, at, n, k, used[k]))
+            used[k] += n
+            room[k] -= n
+            cost[k] += 1.0 * n + n * n / 7
+        assert packing.assign(lengths, length, 1.0, 1 / 7) == expected
+
+
 def test_language(docs, empty, spark):
     rng = random.Random(1)
     kinds = {"en": ["the", "of", "and", "with"], "de": ["der", "und", "nicht", "ein"], "fr": ["les", "est", "pour", "une"], "es": ["los", "que", "por", "una"]}
@@ -422,6 +447,28 @@ def test_near_connect():
             assert np.array_equal(got.roots(np.arange(400)), forest.roots(np.arange(400)))
 
 
+def test_near_points():
+    """Bounds of large sets at their own resolutions are never below the overlap, and tell unrelated sets apart."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+    base = draw(9_000)
+    own = [base, np.unique(np.concatenate([base[:8_500], draw(400)])), draw(9_000), draw(3_000), base[:2_500], draw(100), draw(70_000)]
+    size = np.array([len(x) for x in own], dtype=np.int64)
+    found = nearjoin.Points([nearjoin.point_bytes(x) for x in own], size)
+    assert sorted(set(found.groups.tolist())) == [128, 256, 1024, 8192]
+    every = np.arange(len(own))
+    for q in every:
+        over = np.array([len(np.intersect1d(own[q], x)) for x in own])
+        coarse = np.minimum(found.coarse, found.coarse[q]).sum(axis=1)
+        bound = np.minimum(found(int(q), every), coarse)
+        assert (bound >= over).all()
+    bound = found(0, every)
+    yes = nearjoin.reach(np.minimum(bound, np.minimum(found.coarse, found.coarse[0]).sum(axis=1)), 9_000, size, 85)
+    assert yes.tolist() == [True, True, False, False, False, False, False]
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2000 + i) for i in range(1, 50)]
@@ -659,3 +706,57 @@ def test_greatest_before(spark):
     for stretch in (1, 7, 1000):
         got = sorted(tuple(r) for r in shared.greatest_before(frame, ["k"], "at", F.col("v"), "b", stretch).select("k", "at", F.coalesce("v", F.lit(-1)), F.coalesce("b", F.lit(-1))).collect())
         assert got == sorted((k, at, -1 if v is None else v, max((w for j, a, w in rows if j == k and a < at and w is not None), default=-1)) for k, at, v in rows)
+
+
+def plain_paths(html):
+    """Chosen paths by the formula, from a list of (path, text) runs of a page without void or unclosed elements."""
+    import re
+
+    stack, runs_ = [""], []
+    for close, tag, text in re.findall(r"<(/?)(\w+)[^>]*>|([^<]+)", html):
+        if text:
+            runs_.append(("/".join(stack), text))
+        elif close:
+            stack.pop()
+        else:
+            stack.append(tag)
+    runs_ = [(p, t) for p, t in runs_ if t.strip()]
+    paths = list(dict.fromkeys(p for p, _ in runs_))
+    ratio = lambda p, f: sum(f(t) for q, t in runs_ if q == p) / sum(q == p for q, _ in runs_)
+    kinds = []
+    for value in ([ratio(p, lambda t: len(t.strip())) for p in paths], [1 + ratio(p, lambda t: sum(c in ".,;:!?" for c in t)) for p in paths]):
+        up = [p[: p.rindex("/")] for p in paths]
+        kinds.append([(2 * v + (value[i - 1] if i and up[i - 1] == up[i] else v) + (value[i + 1] if up[i + 1 : i + 2] == [up[i]] else v)) / 4 for i, v in enumerate(value)])
+    fused = [a * b for a, b in zip(*kinds, strict=True)]
+    return {p for p, f in zip(paths, fused, strict=True) if f >= pages.SHARE * sum(fused) / len(fused)}
+
+
+def test_content_paths():
+    """Against the plain formula, on random pages of plain elements."""
+    rng = random.Random(51)
+
+    def element(depth):
+        tag = rng.choice(["div", "em", "b", "section", "span"])
+        inside = "".join(element(depth + 1) if depth < 4 and rng.random() < 0.5 else prose(rng, rng.choice([1, 3, 30])) for _ in range(rng.randint(1, 3)))
+        return f"<{tag}>{inside}</{tag}>"
+
+    seen = set()
+    for _ in range(200):
+        html = "<main>" + "".join(element(0) for _ in range(4)) + "</main>"
+        found, _ = pages.parse(html)
+        every = {n.path for n, t, _ in found if t.strip()}
+        got = pages.content_paths(found)
+        assert got == plain_paths(html)
+        seen.add(got == every)
+    assert seen == {True, False}
+
+
+def test_threshold_decides(monkeypatch):
+    """Plain elements without names: short unpunctuated runs go by the threshold alone, and without it all text stays, boilerplate too."""
+    body = "Long prose, with marks. And then some more of it, as it goes. " * 8
+    html = f"<body><div><div>Sign in</div><div><span>Print</span> <span>Larger</span></div><section><p>{body}</p><p>{body}</p><div><i>12</i><i>34</i></div><p>{body}</p></section></div><nav>Menu</nav></body>"
+    a = body.strip()
+    assert pages.extract(html) == f"{a} {a} {a}"
+    monkeypatch.setattr(pages, "SHARE", 0.0)
+    every = pages.extract(html)
+    assert every.startswith("Sign in") and "1234" in every and "Menu" in every and every != f"{a} {a} {a}"

@@ -4,7 +4,8 @@ A document's set is its distinct word shingles, as 64-bit fingerprints; document
 named by a 128-bit digest of the set. Tokens are hashed into `GROUPS` groups, and the counts of a set's groups are its
 point. The overlap of two sets is at most the sum of the coordinate minima of their points, so a pair can be
 linked only if 185 * sum >= 85 * (a + b) for sizes a, b (at 85 per cent). An R-tree's node keeps the coordinate maxima
-of its points, with which the same sum bounds every pair below it.
+of its points, with which the same sum bounds every pair below it. The points of large sets have more groups, about 16 tokens to each,
+or any two of them would seem to overlap; they are added up to `GROUPS` for the tree, and to the fewer groups of the two for a pair that it finds.
 
 1. A sketch counts the tokens that prefixes could hold, over all documents, to order common tokens last.
 2. Sets that are linked share a token among the first n - ceil(t n) + 1 of their ordered tokens. Each class goes by name
@@ -23,7 +24,7 @@ and all rows of a bucket or block are arrays.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from . import components as C
 from . import shared
 from . import words as W
 
-GROUPS = 128
+GROUPS, MOST_GROUPS = 128, 1 << 14
 LEAF = 32
 #: A candidate component of more classes is dealt into blocks of about so many, and a set of holders into blocks of at most so many.
 BLOCK, SPLIT = 4096, 4096
@@ -89,6 +90,50 @@ def fine_groups(most: int) -> int:
     return min(4096, max(GROUPS, 1 << max(0, most // 2 - 1).bit_length()))
 
 
+def resolution(n: int) -> int:
+    """Groups of the point of a set of n tokens."""
+    return min(MOST_GROUPS, max(GROUPS, 1 << max(0, n // 16 - 1).bit_length()))
+
+
+def point_bytes(s: np.ndarray) -> bytes:
+    """Counts of the set's tokens by group at its own resolution; bytes if they fit."""
+    groups = resolution(len(s))
+    counts = np.bincount((s >> np.uint64(40)).astype(np.int64) & (groups - 1), minlength=groups)
+    return counts.astype("u1" if counts.max() < 256 else "<u4").tobytes()
+
+
+def read_point(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, "u1" if len(raw) == resolution(n) else "<u4").astype(np.int32)
+
+
+class Points:
+    """Points at their own resolutions: added up to `GROUPS` in `coarse`, and bounds of pairs at the lesser resolution of the two."""
+
+    def __init__(self, raw: list[bytes], size: np.ndarray):
+        self.own = [read_point(x, int(n)) for x, n in zip(raw, size.tolist(), strict=True)]
+        self.groups = np.array([len(x) for x in self.own], dtype=np.int64)
+        self.coarse = np.array([x.reshape(-1, GROUPS).sum(axis=0) for x in self.own], dtype=np.int32).reshape(-1, GROUPS)
+        self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def level(self, groups: int) -> tuple[np.ndarray, np.ndarray]:
+        if groups not in self.levels:
+            of = np.flatnonzero(self.groups >= groups)
+            place = np.zeros(len(self.own), dtype=np.int64)
+            place[of] = np.arange(len(of))
+            self.levels[groups] = np.array([self.own[k].reshape(-1, groups).sum(axis=0) for k in of], dtype=np.int32), place
+        return self.levels[groups]
+
+    def __call__(self, q: int, others: np.ndarray) -> np.ndarray:
+        """Bounds of overlaps; no bound where there is no better one than the coarse points give."""
+        out = np.full(len(others), 1 << 50, dtype=np.int64)
+        groups = np.minimum(self.groups[others], self.groups[q])
+        for g in np.unique(groups[groups > GROUPS]).tolist():
+            rows, place = self.level(g)
+            k = np.flatnonzero(groups == g)
+            out[k] = np.minimum(rows[place[others[k]]], rows[place[q]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 class Forest:
     """Union-find over 0..n-1; a root is its component's least member."""
 
@@ -166,8 +211,8 @@ class Overlaps:
         return np.add.reduceat(hits, at, dtype=np.int64)  # no set is empty
 
 
-def connect(p: np.ndarray, size: np.ndarray, label: np.ndarray, percent: int, exact: Overlaps | None = None, queries: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Edges that join the components of all pairs that are linked, by bound or, if `exact` is given, by overlap.
+def connect(p: np.ndarray, size: np.ndarray, label: np.ndarray, percent: int, exact: Callable[[int, np.ndarray], np.ndarray] | None = None, queries: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges that join the components of all pairs that are linked, by the points' bound and, if `exact` is given, by the overlaps or bounds that it tells.
 
     label says what is connected already. Every pair of two components is looked at once, or with `queries` every pair that
     has a query, until all are connected.
@@ -266,8 +311,8 @@ def index(docs: DataFrame, width: int, percent: int, hot, buckets: int) -> DataF
                     first.setdefault(i, k)
             places = np.fromiter(first.values(), dtype="<i4", count=len(first))
             unique = [chunk[k] for k in places]
-            p = points(unique)
-            own = _blob(doc, np.array([len(s) for s in chunk], dtype="<i8"), named, places, p.astype("u1" if p.dtype == np.uint8 else "<u4"))
+            p = [point_bytes(s) for s in unique]
+            own = _blob(doc, np.array([len(s) for s in chunk], dtype="<i8"), named, places, np.array([len(x) for x in p], dtype="<i4"), np.frombuffer(b"".join(p), "u1"))
             out_bucket, out_blob = [-1 - int(W.mix(doc[:1].astype(np.uint64))[0] % np.uint64(buckets))], [own]
             if unique:
                 key = np.frombuffer(b"".join(i[:8] for i in first), dtype=">i8").astype("<i8")
@@ -322,12 +367,13 @@ def holders(buckets: int):
     def documents(blobs: list[bytes]) -> pa.Table:
         parts = []
         for blob in blobs:
-            doc, n, name, places, flat = _unblob(blob, ["<i8", "<i8", "u1", "<i4", "u1"])
+            doc, n, name, places, lengths, flat = _unblob(blob, ["<i8", "<i8", "u1", "<i4", "<i4", "u1"])
+            flat, ends = flat.tobytes(), np.cumsum(lengths).tolist()
             names = _raw(name, 16)
             k = len(doc)
             key, point = np.zeros(k, dtype="<i8"), [None] * k
-            for at, row in zip(places, _raw(flat, len(flat) // max(1, len(places))) if len(places) else [], strict=True):
-                key[at], point[at] = int.from_bytes(names[at][:8], "big", signed=True), row
+            for at, end, length in zip(places.tolist(), ends, lengths.tolist(), strict=True):
+                key[at], point[at] = int.from_bytes(names[at][:8], "big", signed=True), flat[end - length : end]
             ids = pa.array([x if n[i] else None for i, x in enumerate(names)], pa.binary())
             parts.append(pa.table([pa.array(doc), pa.array(n), ids, pa.array(key, mask=np.array([x is None for x in point])), pa.array(point, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], schema=FOUND))
         return pa.concat_tables(parts)
@@ -379,17 +425,13 @@ def holders(buckets: int):
     return run
 
 
-def _points(column: pa.ChunkedArray) -> np.ndarray:
-    return np.array([np.frombuffer(x, "u1" if len(x) == GROUPS else "<u4").astype(np.int32) for x in column.to_pylist()]).reshape(-1, GROUPS)
-
-
 def holder_edges(percent: int):
     """Spanning edges (u, v) of the pairs of holders whose bound holds, by the first 64 bits of their classes' names, set by set and block by block."""
 
     def run(t: pa.Table) -> pa.Table:
         names, first, who = np.unique(t.column("key").to_numpy(), return_index=True, return_inverse=True)
         size = t.column("n").to_numpy()[first].astype(np.int64)
-        points_ = _points(t.column("point").take(pa.array(first)))
+        points_ = Points(t.column("point").take(pa.array(first)).to_pylist(), size)
         # two blocks with one number would only be searched together
         of = W.mix(t.column("holders").to_numpy().astype(np.uint64) + W.mix(t.column("block").to_numpy().astype(np.uint64)))
         group, owner = _unique(of, who.ravel())
@@ -399,7 +441,7 @@ def holder_edges(percent: int):
         many = np.flatnonzero(lengths > LEAF)
         for k in many[np.argsort(-lengths[many], kind="stable")]:  # what large sets connect needn't be looked at in the others
             own = owner[starts[k] : starts[k] + lengths[k]]
-            for i, j in connect(points_[own], size[own], forest.roots(own), percent):
+            for i, j in connect(points_.coarse[own], size[own], forest.roots(own), percent, lambda q, others, own=own: points_(int(own[q]), own[others])):
                 forest.join(int(own[i]), int(own[j]))
         for length in np.unique(lengths[(lengths > 1) & (lengths <= LEAF)]):
             sets_ = starts[lengths == length]
@@ -411,9 +453,11 @@ def holder_edges(percent: int):
                 x, y = pairs >> 32, pairs & 0xFFFFFFFF
                 open_ = forest.roots(x) != forest.roots(y)
                 x, y = x[open_], y[open_]
-                over = np.minimum(points_[x], points_[y]).sum(axis=1, dtype=np.int64)
-                for k in np.flatnonzero(reach(over, size[x], size[y], percent)).tolist():
-                    forest.join(int(x[k]), int(y[k]))
+                over = np.minimum(points_.coarse[x], points_.coarse[y]).sum(axis=1, dtype=np.int64)
+                yes = np.flatnonzero(reach(over, size[x], size[y], percent))
+                for u, v in zip(x[yes].tolist(), y[yes], strict=True):
+                    if forest.find(u) != forest.find(int(v)) and reach(points_(u, v[None]), size[u], size[v], percent)[0]:
+                        forest.join(u, int(v))
         root = forest.roots(np.arange(len(names)))
         u = np.flatnonzero(root != np.arange(len(names)))
         return pa.table({"u": pa.array(names[u], pa.int64()), "v": pa.array(names[root[u]], pa.int64())})
@@ -426,7 +470,9 @@ def across_edges(percent: int):
 
     def run(t: pa.Table) -> pa.Table:
         names = t.column("key").to_numpy()
-        found = connect(_points(t.column("point")), t.column("n").to_numpy().astype(np.int64), t.column("root").to_numpy(), percent, queries=np.flatnonzero(t.column("query").to_numpy()))
+        size = t.column("n").to_numpy().astype(np.int64)
+        points_ = Points(t.column("point").to_pylist(), size)
+        found = connect(points_.coarse, size, t.column("root").to_numpy(), percent, points_, np.flatnonzero(t.column("query").to_numpy()))
         return pa.table({"u": pa.array([names[i] for i, _ in found], pa.int64()), "v": pa.array([names[j] for _, j in found], pa.int64())})
 
     return run
