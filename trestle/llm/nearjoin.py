@@ -38,6 +38,8 @@ from . import shared
 from . import words as W
 
 GROUPS, MOST_GROUPS = 128, 1 << 14
+#: Tokens to a group where whole sets of different blocks are compared.
+FINE = 2
 LEAF = 32
 #: A candidate component of more classes is dealt into blocks of about so many, and a set of holders into blocks of at most so many.
 BLOCK, SPLIT = 4096, 4096
@@ -90,27 +92,27 @@ def fine_groups(most: int) -> int:
     return min(4096, max(GROUPS, 1 << max(0, most // 2 - 1).bit_length()))
 
 
-def resolution(n: int) -> int:
-    """Groups of the point of a set of n tokens."""
-    return min(MOST_GROUPS, max(GROUPS, 1 << max(0, n // 16 - 1).bit_length()))
+def resolution(n: int, each: int = 16) -> int:
+    """Groups of the point of a set of n tokens, so that a group has up to about `each`."""
+    return min(MOST_GROUPS, max(GROUPS, 1 << max(0, n // each - 1).bit_length()))
 
 
-def point_bytes(s: np.ndarray) -> bytes:
+def point_bytes(s: np.ndarray, each: int = 16) -> bytes:
     """Counts of the set's tokens by group at its own resolution; bytes if they fit."""
-    groups = resolution(len(s))
+    groups = resolution(len(s), each)
     counts = np.bincount((s >> np.uint64(40)).astype(np.int64) & (groups - 1), minlength=groups)
     return counts.astype("u1" if counts.max() < 256 else "<u4").tobytes()
 
 
-def read_point(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, "u1" if len(raw) == resolution(n) else "<u4").astype(np.int32)
+def read_point(raw: bytes, n: int, each: int = 16) -> np.ndarray:
+    return np.frombuffer(raw, "u1" if len(raw) == resolution(n, each) else "<u4").astype(np.int32)
 
 
 class Points:
     """Points at their own resolutions: added up to `GROUPS` in `coarse`, and bounds of pairs at the lesser resolution of the two."""
 
-    def __init__(self, raw: list[bytes], size: np.ndarray):
-        self.own = [read_point(x, int(n)) for x, n in zip(raw, size.tolist(), strict=True)]
+    def __init__(self, raw: list[bytes], size: np.ndarray, each: int = 16):
+        self.own = [read_point(x, n, each) for x, n in zip(raw, size.tolist(), strict=True)]
         self.groups = np.array([len(x) for x in self.own], dtype=np.int64)
         self.coarse = np.array([x.reshape(-1, GROUPS).sum(axis=0) for x in self.own], dtype=np.int32).reshape(-1, GROUPS)
         self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -303,7 +305,7 @@ def index(docs: DataFrame, width: int, percent: int, hot, buckets: int) -> DataF
         mask = np.uint64(len(flags) - 1)
         for batch, chunk in sets(batches, width):
             ids = [digest(s) if len(s) else None for s in chunk]
-            doc = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8")
+            doc, sub = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype("<i8") for c in ("doc_id", "sub"))
             named = np.frombuffer(b"".join(i or bytes(16) for i in ids), "u1")
             first: dict[bytes, int] = {}
             for k, i in enumerate(ids):
@@ -312,7 +314,7 @@ def index(docs: DataFrame, width: int, percent: int, hot, buckets: int) -> DataF
             places = np.fromiter(first.values(), dtype="<i4", count=len(first))
             unique = [chunk[k] for k in places]
             p = [point_bytes(s) for s in unique]
-            own = _blob(doc, np.array([len(s) for s in chunk], dtype="<i8"), named, places, np.array([len(x) for x in p], dtype="<i4"), np.frombuffer(b"".join(p), "u1"))
+            own = _blob(doc, sub, np.array([len(s) for s in chunk], dtype="<i8"), named, places, np.array([len(x) for x in p], dtype="<i4"), np.frombuffer(b"".join(p), "u1"))
             out_bucket, out_blob = [-1 - int(W.mix(doc[:1].astype(np.uint64))[0] % np.uint64(buckets))], [own]
             if unique:
                 key = np.frombuffer(b"".join(i[:8] for i in first), dtype=">i8").astype("<i8")
@@ -347,8 +349,8 @@ def index(docs: DataFrame, width: int, percent: int, hot, buckets: int) -> DataF
     return docs.mapInArrow(run, "bucket int, blob binary")
 
 
-FOUND = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("id", pa.binary()), ("key", pa.int64()), ("point", pa.binary()), ("holders", pa.int64()), ("block", pa.int64())])
-INDEXED = "doc_id long, n long, id binary, key long, point binary, holders long, block long"
+FOUND = pa.schema([("doc_id", pa.int64()), ("sub", pa.int64()), ("n", pa.int64()), ("id", pa.binary()), ("key", pa.int64()), ("point", pa.binary()), ("holders", pa.int64()), ("block", pa.int64())])
+INDEXED = "doc_id long, sub long, n long, id binary, key long, point binary, holders long, block long"
 
 
 def _raw(values: np.ndarray, width: int) -> list[bytes]:
@@ -360,14 +362,14 @@ def holders(buckets: int):
     """Tokens that at least two classes hold, as (holders, key, block): a number of the token's set of classes, and each of them.
 
     A set of more than `SPLIT` classes is in several blocks, numbered above 0; so is that of a token dealt in pieces. A bucket below 0 gives its documents
-    (doc_id, n, id), with key and point at one document of each class and chunk. Near copies share many tokens, and these have few different
+    (doc_id, sub, n, id), with key and point at one document of each class and chunk. Near copies share many tokens, and these have few different
     sets of holders; points needn't come along for each token.
     """
 
     def documents(blobs: list[bytes]) -> pa.Table:
         parts = []
         for blob in blobs:
-            doc, n, name, places, lengths, flat = _unblob(blob, ["<i8", "<i8", "u1", "<i4", "<i4", "u1"])
+            doc, sub, n, name, places, lengths, flat = _unblob(blob, ["<i8", "<i8", "<i8", "u1", "<i4", "<i4", "u1"])
             flat, ends = flat.tobytes(), np.cumsum(lengths).tolist()
             names = _raw(name, 16)
             k = len(doc)
@@ -375,13 +377,13 @@ def holders(buckets: int):
             for at, end, length in zip(places.tolist(), ends, lengths.tolist(), strict=True):
                 key[at], point[at] = int.from_bytes(names[at][:8], "big", signed=True), flat[end - length : end]
             ids = pa.array([x if n[i] else None for i, x in enumerate(names)], pa.binary())
-            parts.append(pa.table([pa.array(doc), pa.array(n), ids, pa.array(key, mask=np.array([x is None for x in point])), pa.array(point, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], schema=FOUND))
+            parts.append(pa.table([pa.array(doc), pa.array(sub), pa.array(n), ids, pa.array(key, mask=np.array([x is None for x in point])), pa.array(point, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], schema=FOUND))
         return pa.concat_tables(parts)
 
     def table(group: list[np.ndarray], member: list[np.ndarray], block: list[np.ndarray]) -> pa.Table:
         g, m, b = (np.concatenate([np.empty(0, dtype=np.int64), *x]) for x in (group, member, block))
         k = len(g)
-        return pa.table([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(m), pa.nulls(k, pa.binary()), pa.array(g), pa.array(b)], schema=FOUND)
+        return pa.table([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(m), pa.nulls(k, pa.binary()), pa.array(g), pa.array(b)], schema=FOUND)
 
     def pieces(blobs: list[bytes]) -> pa.Table:
         token, piece, key = (np.concatenate(x) for x in zip(*(_unblob(b, ["<u8", "<u8", "<i8"]) for b in blobs), strict=True))
@@ -509,8 +511,28 @@ def block_edges(percent: int):
     return run
 
 
+def participants(percent: int):
+    """Of a block of queries and another block, those that have a partner in another component by the bound of their fine points."""
+
+    def run(t: pa.Table) -> pa.Table:
+        size = t.column("n").to_numpy().astype(np.int64)
+        label = np.unique(t.column("root").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        points_ = Points(t.column("point").to_pylist(), size, FINE)
+        members = np.flatnonzero(~t.column("query").to_numpy())
+        keep = np.zeros(len(size), dtype=bool)
+        for q in np.flatnonzero(t.column("query").to_numpy()).tolist():
+            others = members[label[members] != label[q]]
+            for bound in (lambda k: np.minimum(points_.coarse[k], points_.coarse[q]).sum(axis=1, dtype=np.int64), lambda k: points_(q, k)):  # noqa: B023
+                others = others[reach(bound(others), int(size[q]), size[others], percent)]
+            keep[others] = True
+            keep[q] = len(others) > 0
+        return t.filter(pa.array(keep)).select(["set", "a", "b", "key", "root", "query"])
+
+    return run
+
+
 def block_across(percent: int):
-    """The same between a block of queries and another block, whose components are given by `root`."""
+    """Verified edges between the participants of two blocks, whose components are given by `root`."""
 
     def run(t: pa.Table) -> pa.Table:
         label = np.unique(t.column("root").to_numpy(zero_copy_only=False), return_inverse=True)[1]
@@ -549,27 +571,29 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     of such rows alone has a null component_id. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id"), F.lit(MAX_LONG)).alias("doc_id"), "text")
+    # rows without an id are told apart by their texts
+    sub = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0).alias("sub")
+    docs = docs.select(F.coalesce(F.col("doc_id"), F.lit(MAX_LONG)).alias("doc_id"), sub, "text")
     size = shared.scan_bytes(docs)
     bits = min(22, max(16, math.ceil(math.log2(max(size, 1) / 512))))
     buckets = max(64, min(1 << 20, size >> 21))
     hot = spark.sparkContext.broadcast(hot_tokens(docs, width, percent, bits))
     indexed = shared.table(index(docs, width, percent, hot, buckets).groupBy("bucket").applyInArrow(holders(buckets), INDEXED), "index")
     hot.unpersist()
-    rows = indexed.filter("holders is null").select("doc_id", "n", "id")
+    rows = indexed.filter("holders is null").select("doc_id", "sub", "n", "id")
     held = indexed.filter("holders is not null").select(F.col("holders").alias("set"), "key", "block").distinct()
     # classes that share the first 64 bits of their names keep a point each; either stands for both, as both come along below
     point = indexed.filter("point is not null").select("key", "n", "point").dropDuplicates(["key"])
     candidates = _candidates(held, point, percent, buckets)
-    least = rows.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    least = shared.table(least, "classes")
+    least = rows.filter("id is not null").groupBy("id").agg(F.min(F.struct("doc_id", "sub")).alias("m"), F.count(F.lit(1)).alias("copies"))
+    least = shared.table(least.select("id", F.col("m.doc_id").alias("least"), "m.sub", "copies"), "classes")
     blocks = candidates.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     # the first 8 bytes of the name, big-endian; two classes that share them both come along
     key = F.conv(F.hex(F.substring("id", 1, 8)), 16, -10).cast("long")
-    wanted = candidates.join(blocks, "root").join(least.withColumn("key", key), F.col("node") == F.col("key")).select(F.col("least").alias("doc_id"), F.col("id").alias("want"), "root", F.when(F.col("blocks") > 1, 1 + F.pmod(F.xxhash64("id"), F.col("blocks"))).otherwise(0).alias("block"))
+    wanted = candidates.join(blocks, "root").join(least.withColumn("key", key), F.col("node") == F.col("key")).select(F.col("least").alias("doc_id"), "sub", F.col("id").alias("want"), "root", F.when(F.col("blocks") > 1, 1 + F.pmod(F.xxhash64("id"), F.col("blocks"))).otherwise(0).alias("block"))
     wanted = shared.table(wanted, "candidates")
-    whole = _wholes(docs, wanted, width)
     large = wanted.filter("block > 0").limit(1).count() > 0
+    whole = _wholes(docs, wanted, width, large)
     part = F.pmod(F.xxhash64("root", "block"), F.lit(buckets)).cast("int")
     if large:
         # their sets are read three times
@@ -578,9 +602,12 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     if large:
         edges = shared.table(edges, "verified")
         split = whole.filter("block > 0").select(F.col("root").alias("set"), F.col("id").alias("key"), "block")
-        left = across(split, C.components(edges), whole.filter("block > 0").select(F.col("id").alias("key"), "tokens"))
+        # fine points go to all pairs of blocks, whole sets only where a point says that they may be needed
+        left = across(split, C.components(edges), whole.filter("block > 0").select(F.col("id").alias("key"), "n", "point"))
         if left is not None:
-            edges = edges.unionByName(left.groupBy("set", "a", "b").applyInArrow(block_across(percent), "u binary, v binary"))
+            some = left.groupBy("set", "a", "b").applyInArrow(participants(percent), "set long, a int, b long, key binary, root binary, query boolean")
+            sets_ = some.join(whole.select(F.col("id").alias("key"), "tokens"), "key")
+            edges = edges.unionByName(sets_.groupBy("set", "a", "b").applyInArrow(block_across(percent), "u binary, v binary"))
     linked = C.components(edges)
     reached = linked.join(least, linked["node"] == least["id"])
     tops = reached.groupBy("root").agg(F.min("least").alias("component"))
@@ -605,20 +632,24 @@ def _candidates(held: DataFrame, point: DataFrame, percent: int, buckets: int) -
     return C.components(edges.unionByName(left.groupBy("set", "a", "b").applyInArrow(across_edges(percent), "u long, v long")))
 
 
-def _wholes(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(id, root, block, tokens): the whole sets of the classes that are wanted, each from its first document."""
+def _wholes(docs: DataFrame, wanted: DataFrame, width: int, pointed: bool) -> DataFrame:
+    """(id, root, block, tokens), and n and point if asked for: the whole sets of the classes that are wanted, each from its first document."""
     small = wanted.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
-    texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select("want", "root", "block", "text")
+    texts = docs.join(F.broadcast(wanted) if small else wanted, ["doc_id", "sub"]).select("want", "root", "block", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, chunk in sets(batches, width):
             want = batch.column(0).to_pylist()
             keep = [k for k, s in enumerate(chunk) if len(s) and digest(s) == want[k]]
             took = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([took.column(0), took.column(1), took.column(2), pa.array([chunk[k].astype("<u8").tobytes() for k in keep], pa.binary())], ["id", "root", "block", "tokens"])
-
-    # rows that repeat with one doc_id and text give one class twice
-    return texts.mapInArrow(run, "id binary, root long, block long, tokens binary")
+            columns = [took.column(0), took.column(1), took.column(2), pa.array([chunk[k].astype("<u8").tobytes() for k in keep], pa.binary())]
+            if pointed:
+                columns += [pa.array([len(chunk[k]) for k in keep], pa.int64()), pa.array([point_bytes(chunk[k], FINE) for k in keep], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "root", "block", "tokens", "n", "point"][: len(columns)])
+
+    found = texts.mapInArrow(run, "id binary, root long, block long, tokens binary" + ", n long, point binary" * pointed)
+    # rows that repeat with one doc_id and text give one class several times
+    return found.dropDuplicates(["id"]) if pointed else found
 
 
 def _named(rows: DataFrame, full: DataFrame) -> DataFrame:
