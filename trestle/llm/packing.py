@@ -137,15 +137,13 @@ def capacities(tokens: int, length: int) -> list[int]:
 
 def assign(lengths: list[int], length: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
     """(item, start, length, sequence, offset) of the pieces of items with these lengths."""
-    room = np.array(capacities(sum(lengths), length), dtype=np.int64)
+    # pieces of full length come first and take the full sequences in turn, without a search
+    out = [(item, at, length, k, 0) for k, (item, at) in enumerate((item, at) for item, n in enumerate(lengths) for at in range(0, n - length + 1, length))]
+    full = len(out)
+    room = np.array(capacities(sum(lengths), length)[full:], dtype=np.int64)
     cost, used = np.zeros(len(room)), np.zeros(len(room), dtype=np.int64)
-    queue = []
-    for item, n in enumerate(lengths):
-        queue += [(-length, item, at) for at in range(0, n - length + 1, length)]
-        if n % length:
-            queue.append((-(n % length), item, n - n % length))
+    queue = [(-(n % length), item, n - n % length) for item, n in enumerate(lengths) if n % length]
     heapq.heapify(queue)
-    out = []
     while queue:
         n, item, start = heapq.heappop(queue)
         n = -n
@@ -156,7 +154,7 @@ def assign(lengths: list[int], length: int, linear: float, quadratic: float) ->
             k = int(np.where(room > 0, cost, np.inf).argmin())
             take = int(room[k])
             heapq.heappush(queue, (take - n, item, start + take))
-        out.append((item, start, take, k, int(used[k])))
+        out.append((item, start, take, full + k, int(used[k])))
         used[k] += take
         room[k] -= take
         cost[k] += linear * take + quadratic * take * take
