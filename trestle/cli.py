@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from . import errors as E
 from .operators import zonemap
 from .plans import planner
-from .sources import catalog, ingest
+from .sources import catalog, ingest, sink
 
 DEMO = "இருந்து பயனர்கள் | வடி வயது > 21 | அடுக்கு வயது | எடு 10 | தேடு பெயர், வயது;"
 
@@ -32,9 +32,9 @@ def main(args: list[str] | None = None) -> int:
         if a.command == "query":
             tables = catalog.test_tables(spark, a.tables) if a.tables else catalog.demo_catalog(spark)
             df = planner.run(spark, tables, a.pipeline)
-            print("\t".join(df.columns))
-            for row in df.toLocalIterator():
-                print("\t".join("?" if isinstance(v, bool) else "" if v is None else str(v) for v in row))
+            print(sink.header(df))
+            for row in sink.tsv_lines(df).toLocalIterator():
+                print(row[0])
         else:
             n = ingest.ingest_csv(spark, a.file, a.schema, a.out, not a.no_header)
             print(f"{n} rows")

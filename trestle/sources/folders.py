@@ -40,6 +40,17 @@ def file_system(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def put(spark: SparkSession, path: str, data: bytes) -> str:
+    """A small file of these bytes."""
+    fs, p = file_system(spark, path)
+    out = fs.create(p)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return path
+
+
 def ship(spark: SparkSession) -> None:
     """Give this package to the executors' Python, once for each application."""
     app = spark.sparkContext.applicationId

@@ -78,19 +78,25 @@ def parse_line(line: str, number: int, schema: list[tuple[str, str]]) -> tuple:
     return tuple(out)
 
 
-def has_bom(spark: SparkSession, path: str) -> bool:
-    """Whether the first file begins with a byte order mark, which Spark's reader drops."""
+def edges(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """Whether the first file begins with a byte order mark, which Spark's reader drops, and the last one ends with a carriage return without a line feed, which stays."""
     fs, p = folders.file_system(spark, path)
-    found = sorted((str(x.getPath()) for x in fs.globStatus(p) or []))
-    if found and fs.getFileStatus(folders.file_system(spark, found[0])[1]).isDirectory():
-        found = sorted(str(x.getPath()) for x in fs.listStatus(folders.file_system(spark, found[0])[1]) if not x.getPath().getName().startswith(("_", ".")))
+    found = list(fs.globStatus(p) or [])
+    if found and found[0].isDirectory():
+        found = [x for x in fs.listStatus(found[0].getPath()) if not x.getPath().getName().startswith(("_", "."))]
+    found = sorted((x for x in found if x.getLen()), key=lambda x: x.getPath().toString())
     if not found:
-        return False
-    stream = fs.open(folders.file_system(spark, found[0])[1])
-    try:
-        return [stream.read() for _ in range(3)] == [0xEF, 0xBB, 0xBF]
-    finally:
-        stream.close()
+        return False, False
+
+    def read(file, at: int, n: int) -> list[int]:
+        stream = fs.open(file.getPath())
+        try:
+            stream.seek(at)
+            return [stream.read() for _ in range(n)]
+        finally:
+            stream.close()
+
+    return read(found[0], 0, min(3, found[0].getLen())) == [0xEF, 0xBB, 0xBF], read(found[-1], found[-1].getLen() - 1, 1) == [0x0D]
 
 
 def ingest_csv(spark: SparkSession, path: str, schema: str | list[tuple[str, str]], out_dir: str, has_header: bool = True) -> int:
@@ -98,9 +104,11 @@ def ingest_csv(spark: SparkSession, path: str, schema: str | list[tuple[str, str
     columns = parse_schema(schema) if isinstance(schema, str) else schema
     try:
         lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("value"), F.monotonically_increasing_id().alias("at"))
-        mark = "\ufeff" if has_bom(spark, path) else ""
+        marked, ends = edges(spark, path)
     except AnalysisException as e:
         raise E.IoError(str(e)) from e
+    mark = "\ufeff" if marked else ""
+    last = lines.agg(F.max("at")).collect()[0][0] if ends else None
     folders.ship(spark)
     names = [n for n, _ in columns]
     kinds = {"long": pa.int64(), "string": pa.string()}
@@ -112,7 +120,7 @@ def ingest_csv(spark: SparkSession, path: str, schema: str | list[tuple[str, str
                 # the number of a line is its place in its partition here; what comes before is counted for the first error only
                 number = at + 1
                 try:
-                    line = (mark if at == 0 else "") + raw.decode().removesuffix("\r")
+                    line = (mark if at == 0 else "") + (raw.decode() if at == last else raw.decode().removesuffix("\r"))
                     if has_header and at == 0:
                         if split_line(line, 1) != names:
                             raise E.HeaderMismatch(line)
