@@ -5,11 +5,13 @@ import random
 import struct
 import zlib
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from trestle.llm import components, decontaminate, language, nearjoin, packing, pages, quality, quotations, queries, replies, secretscan, shared, substring, warc, words
+from trestle.llm import components, decontaminate, language, nearjoin, oracles, packing, pages, quality, quotations, queries, replies, secretscan, shared, substring, warc, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, g string, far double, token string, words int, id string"
 
@@ -690,9 +692,14 @@ def test_links_by_force(spark, monkeypatch):
                 parts += [rng.choice([prose(rng, rng.randint(2, 8)), rng.choice(stock)]), *([""] if rng.random() < 0.3 else [])]
             texts.append("\n".join(parts))
             rows.append((conv, 7 * turn, "u", texts[-1]))
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    duck = duckdb.connect()
+    duck.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+    answer = duck.execute(oracles.QUOTATIONS)
+    names = [d[0] for d in answer.description]
+    assert sorted(tuple(r) for r in quotations.link(frame).select(*names).collect()) == sorted(answer.fetchall())
     expected = brute.links([(c, t, x) for c, t, _, x in rows])
     assert {k for _, k in expected.values()} == {"root", "previous", "quote"}
-    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
     for stretch in (4_096, 20):
         monkeypatch.setattr(quotations, "STRETCH", stretch)
         got = {(r["conv_id"], r["turn"]): (r["parent_turn"], r["link"]) for r in quotations.link(frame).collect()}

@@ -82,6 +82,47 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FRO
 """
 
 
+QUOTATIONS = r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations),
+x AS (SELECT conv_id, turn, i, regexp_replace(ls[i], '\r+$', '') AS line FROM (SELECT conv_id, turn, ls, unnest(range(1, len(ls) + 1)) AS i FROM m)),
+y AS (SELECT conv_id, turn, i, line, regexp_extract(line, '^[ \t]*(?:>[ \t]?)+') AS mark FROM x),
+z AS (SELECT conv_id, turn, i, len(regexp_extract_all(mark, '>')) AS level, substr(line, length(mark) + 1) AS rest FROM y),
+l AS (SELECT *, lead(level, 1, 0) OVER w AS next, lead(level, 2, 0) OVER w AS second, lag(level, 1, 0) OVER w AS before FROM z WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
+own AS (SELECT conv_id, turn, i, rest FROM l WHERE level = 0 AND NOT ((next > 0 OR second > 0) AND regexp_matches(regexp_replace(rest, '^\s+|\s+$', '', 'g'),
+  '(?i)^(?:On\b.*\bwrote:|.{1,200}\b(?:wrote|writes|schrieb|a écrit|escribió)\s?:|-{2,}\s*(?:Original|Forwarded) Message\s*-{2,})\s*$'))),
+-- a passage: consecutive lines of one level; the message's own lines are passage 0
+lines AS (
+  SELECT conv_id, turn, 0 AS level, 0 AS passage, i, rest FROM own
+  UNION ALL SELECT conv_id, turn, level, passage, i, rest FROM (SELECT *, sum(CASE WHEN level <> before THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY i) AS passage FROM l) WHERE level > 0),
+marked AS (SELECT *, trim(regexp_replace(lower(rest), '\s+', ' ', 'g')) AS n, sum(CASE WHEN trim(regexp_replace(rest, '\s+', ' ', 'g')) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn, level, passage ORDER BY i) AS paragraph FROM lines),
+pieces AS (
+  SELECT conv_id, turn, level, passage, 0 AS kind, string_agg(n, ' ' ORDER BY i) FILTER (n <> '') AS n FROM marked GROUP BY conv_id, turn, level, passage
+  UNION ALL SELECT conv_id, turn, level, passage, 1, string_agg(n, ' ' ORDER BY i) FILTER (n <> '') FROM marked GROUP BY conv_id, turn, level, passage, paragraph
+  UNION ALL SELECT conv_id, turn, level, passage, 2, n FROM marked),
+kept AS (SELECT conv_id, turn, level, passage, min(kind) AS kind, n FROM pieces WHERE n <> '' GROUP BY conv_id, turn, level, passage, n),
+best AS (
+  SELECT q.conv_id, q.turn, arg_min(w.turn, {'level': q.level, 'kind': q.kind, 'short': -length(q.n), 'back': -w.turn}) AS writer
+  FROM kept q JOIN kept w ON q.conv_id = w.conv_id AND q.n = w.n AND w.turn < q.turn WHERE q.level > 0 AND w.level = 0 GROUP BY q.conv_id, q.turn),
+links AS (
+  SELECT m.conv_id, m.turn, coalesce(writer, previous) AS parent_turn, CASE WHEN writer IS NOT NULL THEN 'quote' WHEN previous IS NOT NULL THEN 'previous' ELSE 'root' END AS link
+  FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM m) m LEFT JOIN best USING (conv_id, turn)),
+tree AS (
+  SELECT conv_id, turn, [turn] AS path FROM links WHERE parent_turn IS NULL
+  UNION ALL SELECT links.conv_id, links.turn, list_append(path, links.turn) FROM tree JOIN links ON links.conv_id = tree.conv_id AND links.parent_turn = tree.turn),
+bodies AS (SELECT conv_id, turn, string_agg(rest, chr(10) ORDER BY i) AS body FROM own GROUP BY conv_id, turn),
+deep AS (SELECT conv_id, turn, max(level) AS lines, max(level) FILTER (n <> '') AS depth FROM marked GROUP BY conv_id, turn)
+SELECT m.conv_id, m.turn, role, parent_turn, link, row_number() OVER (PARTITION BY m.conv_id ORDER BY path) - 1 AS position, CAST(len(path) - 1 AS BIGINT) AS depth, CAST(coalesce(deep.depth, 0) AS BIGINT) AS depth_quoted,
+  CASE WHEN coalesce(deep.lines, 0) = 0 THEN text ELSE trim(regexp_replace(coalesce(body, ''), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)) END AS text
+FROM m JOIN links USING (conv_id, turn) JOIN tree USING (conv_id, turn) LEFT JOIN bodies USING (conv_id, turn) LEFT JOIN deep USING (conv_id, turn)
+"""
+
+
+REPLIES = f"""
+SELECT conv_id, CAST(position // 100 AS BIGINT) AS part, count(*) AS n_messages, string_agg(coalesce(role, '') || ': ' || text, chr(10) || chr(10) ORDER BY position) AS text
+FROM ({QUOTATIONS}) GROUP BY conv_id, position // 100
+"""
+
+
 def _secrets() -> str:
     from . import secretscan as S
 
@@ -98,4 +139,4 @@ def _secrets() -> str:
     return f"SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM documents LEFT JOIN ({listed}) USING (doc_id)"
 
 
-SQL = {"op5_substring": SUBSTRING, "op6_warc": WARC, "op7_near": NEAR, "op9_decontaminate": CONTAMINATED, "secrets_base": _secrets(), "quality_base": QUALITY_BASE}
+SQL = {"op5_substring": SUBSTRING, "op6_warc": WARC, "op7_near": NEAR, "op8_quotations": QUOTATIONS, "op8_replies": REPLIES, "op9_decontaminate": CONTAMINATED, "secrets_base": _secrets(), "quality_base": QUALITY_BASE}
