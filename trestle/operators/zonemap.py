@@ -104,9 +104,12 @@ def filter_pages(df: DataFrame, column: str, op: str, literal: int, zones: DataF
         F.coalesce(F.sum("pages"), F.lit(0)).alias("pages_skipped"),
         F.coalesce(F.sum(F.col("rows") - F.col("skipped")), F.lit(0)).alias("rows_scanned"),
     )
-    # one row each
-    stats = sums.join(F.broadcast(matches.agg(F.count(F.lit(1)).alias("rows_kept"))))
-    stats = stats.select("pages_total", "pages_skipped", (F.col("pages_total") - F.col("pages_skipped")).alias("pages_scanned"), "rows_scanned", "rows_kept")
+    # one row each, added up
+    kept = matches.agg(F.count(F.lit(1)).alias("rows_kept"))
+    names = ["pages_total", "pages_skipped", "rows_scanned", "rows_kept"]
+    either = sums.withColumn("rows_kept", F.lit(0).cast("long")).select(names).unionByName(kept.select(*[F.lit(0).cast("long").alias(n) for n in names[:-1]], "rows_kept"))
+    total = either.agg(*[F.sum(n).alias(n) for n in names])
+    stats = total.select("pages_total", "pages_skipped", (F.col("pages_total") - F.col("pages_skipped")).alias("pages_scanned"), "rows_scanned", "rows_kept")
     return Pushdown(matches.select(*[F.col(c).cast("long").alias(c) for c in columns]), stats)
 
 
