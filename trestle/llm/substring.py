@@ -124,41 +124,36 @@ def pack(docs: DataFrame, width: int, mer: int, buckets: int, common=None) -> Da
         press = zstandard.ZstdCompressor(level=3)
         flags = None if common is None else common.value
         for batch in W.chunks(batches, size=CHUNK_BYTES):
-            found = W.Words(batch)
-            lens = np.diff(np.concatenate([[0], found.ends]))
-            long_enough = np.flatnonzero(lens >= width)
-            if not len(long_enough):
-                continue
             doc_id = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             doc_key = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             # documents in the order of their ids, so that what comes first in the chunk comes first
-            chosen = long_enough[np.lexsort((doc_key[long_enough], doc_id[long_enough]))]
-            words = W.places((found.ends - lens)[chosen], lens[chosen])
-            length = found.length[words]
-            h = W.fingerprints(found.buffer, found.start[words], length)
-            # all words with one space between them
-            place = np.cumsum(length + 1) - (length + 1)
-            packed = found.buffer[W.places(found.start[words], length + 1)]
-            packed[place + length] = 0x20
-            text = packed.tobytes()
+            order = np.lexsort((doc_key, doc_id))
+            doc_id, doc_key = doc_id[order], doc_key[order]
+            texts = W.texts(batch)
+            found = W.Words.joined([texts[i] for i in order.tolist()])
+            del texts
+            lens = np.diff(np.concatenate([[0], found.ends]))
+            if not len(lens) or lens.max() < width:
+                continue
+            h = W.fingerprints(found.buffer, found.start, found.length)
+            text, place = found.packed()
+            until = place + found.length
             buffer = W.padded(text)
-            ends = np.cumsum(lens[chosen])
-            begin = ends - lens[chosen]
-            which = np.repeat(np.arange(len(chosen)), lens[chosen])
-            n = len(words) - width + 1
+            begin = found.ends - lens
+            which = np.repeat(np.arange(len(lens)), lens)
+            n = len(h) - width + 1
             inside = which[:n] == which[width - 1 :]
             least = minimisers(h, width, mer, flags)
             starts = np.flatnonzero(inside)
-            until = place + length
             gone = np.zeros(n, dtype=bool)
-            gone[starts] = later(buffer, place[starts], until[starts + width - 1] - place[starts], (doc_id[chosen][which[starts]], starts - begin[which[starts]]), W.windows(h, width)[starts])
+            gone[starts] = later(buffer, place[starts], until[starts + width - 1] - place[starts], (doc_id[which[starts]], starts - begin[which[starts]]), W.windows(h, width)[starts])
             out_bucket, out_blob = [], []
             if gone.any():
                 r = runs(gone)
                 # a run may go on into the next document only through windows that are not inside, which are never gone
                 d = which[r[:, 0]]
-                out_bucket.append(-1 - int(W.mix(doc_id[chosen[:1]].astype(np.uint64))[0] % np.uint64(buckets)))
-                out_blob.append(_ranges(doc_id[chosen][d], doc_key[chosen][d], r[:, 0] - begin[d], r[:, 1] - begin[d] + width - 1))
+                out_bucket.append(-1 - int(W.mix(doc_id[:1].astype(np.uint64))[0] % np.uint64(buckets)))
+                out_blob.append(_ranges(doc_id[d], doc_key[d], r[:, 0] - begin[d], r[:, 1] - begin[d] + width - 1))
             # super-k-mers: runs of windows that stay, of one document, with one minimiser
             stay = inside & ~gone
             cut = np.concatenate([[True], (least[1:] != least[:-1]) | ~stay[:-1] | (which[1:n] != which[: n - 1])])
@@ -172,7 +167,7 @@ def pack(docs: DataFrame, width: int, mer: int, buckets: int, common=None) -> Da
                 for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
                     s, c = first[part], count[part]
                     d = which[s]
-                    head = b"".join(a.astype("<i8").tobytes() for a in (doc_id[chosen][d], doc_key[chosen][d], s - begin[d])) + c.astype("<i4").tobytes()
+                    head = b"".join(a.astype("<i8").tobytes() for a in (doc_id[d], doc_key[d], s - begin[d])) + c.astype("<i4").tobytes()
                     out_bucket.append(int(bucket[part[0]]))
                     out_blob.append(press.compress(np.array([len(part)], "<i8").tobytes() + head + b" ".join([text[low[k] : high[k]] for k in part.tolist()])))
             for k in range(0, len(out_bucket), 512):

@@ -78,9 +78,18 @@ class Words:
         column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary()).fill_null(b"")
         offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
         raw = column.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes() if len(column) and offsets[-1] > offsets[0] else b""
-        if lower:
-            raw = raw.lower()
-        at = offsets - offsets[0]
+        self._split(raw.lower() if lower else raw, offsets - offsets[0])
+
+    @classmethod
+    def joined(cls, texts: list[bytes]) -> Words:
+        """Of texts put together with a space between them."""
+        out = cls.__new__(cls)
+        at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        at[-1] -= bool(texts)
+        out._split(b" ".join(texts), at)
+        return out
+
+    def _split(self, raw: bytes, at: np.ndarray) -> None:
         self.buffer = padded(raw)
         space = _SPACE[self.buffer[: len(raw)]]
         inside = at[at < len(raw)]
@@ -95,6 +104,17 @@ class Words:
         self.length = np.flatnonzero(last) + 1 - self.start
         self.ends = np.searchsorted(self.start, at[1:])
 
+    def packed(self) -> tuple[bytes, np.ndarray]:
+        """All words with one space behind each, and where they start there; of texts that don't touch."""
+        place = np.cumsum(self.length + 1) - (self.length + 1)
+        own = self.buffer[:-7].copy()  # a byte behind the last word is there
+        keep = ~_SPACE[own]
+        keep[-1] = False
+        behind = self.start + self.length
+        keep[behind] = True
+        own[behind] = 0x20
+        return own[keep].tobytes(), place
+
 
 def padded(raw: bytes) -> np.ndarray:
     """Bytes that can be read eight at a time from any place."""
