@@ -85,6 +85,11 @@ class WordTokenizer:
     def word(self, w: bytes) -> bytes:
         if self.merge is not None:
             if w.isascii():
+                # a word of letters is one piece, and most others are one with a mark behind it
+                if w.isalpha():
+                    return pack_ids(self.merge(w + b"\xff"))
+                if w[:-1].isalpha() and w[-1] not in b"'\x00":
+                    return pack_ids(self.merge(w[:-1] + b"\xff") + self.merge(w[-1:] + b"\xff"))
                 if b"'" not in w and b"\x00" not in w:
                     return pack_ids([x for piece in PIECES.findall(w) for x in self.merge(piece + b"\xff")])
             elif b"'" not in w and max(s := w.decode()) < LATIN_END and s == s.lower() and is_normalized("NFC", s):
@@ -116,8 +121,11 @@ class WordTokenizer:
         return b"".join(got)
 
 
+_PACKED = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
 def pack_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _PACKED[len(ids)](*ids) if len(ids) < len(_PACKED) else struct.pack(f"<{len(ids)}I", *ids)
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
