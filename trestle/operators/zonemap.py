@@ -82,7 +82,7 @@ class Pushdown:
 def _pruned(df: DataFrame, column: str, op: str, literal: int, zones: DataFrame | None) -> DataFrame:
     """Rows that match, from files that the map doesn't rule out. A file that the map lacks is read."""
     rows = df.filter(_matches(column, op, literal))
-    if zones is None:
+    if zones is None or len(df.inputFiles()) < 2:
         return rows
     files = zones.groupBy("file").agg(F.max(page_may_match(op, literal)).alias("open")).filter("not open").limit(LISTED + 1).collect()
     return rows if not files or len(files) > LISTED else rows.filter(~F.col("_metadata.file_path").isin([r["file"] for r in files]))
@@ -92,17 +92,17 @@ def filter_pages(df: DataFrame, column: str, op: str, literal: int, zones: DataF
     """The rows that match, without pages that the map rules out. A page that the map lacks is scanned."""
     columns = list(dict.fromkeys([column, *(others or [])]))
     matches = _pruned(df, column, op, literal, zones)
-    # counts of files come from their footers
-    files = df.select(F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
-    if zones is None:
-        known = files.select("rows", F.lit(0).cast("long").alias("pages"), F.lit(0).cast("long").alias("skipped"))
-    else:
-        out = zones.filter(~page_may_match(op, literal)).groupBy("file").agg(F.count(F.lit(1)).alias("pages"), F.sum("row_count").alias("skipped"))
-        known = files.join(out, "file", "left").select("rows", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("skipped", F.lit(0)).alias("skipped"))
-    sums = known.agg(
-        F.coalesce(F.sum(F.ceil(F.col("rows") / page_rows)), F.lit(0)).alias("pages_total"),
-        F.coalesce(F.sum("pages"), F.lit(0)).alias("pages_skipped"),
-        F.coalesce(F.sum(F.col("rows") - F.col("skipped")), F.lit(0)).alias("rows_scanned"),
+    # counts of files come from their footers; files of the map that the table lacks don't count
+    long = lambda v: F.lit(v).cast("long")
+    known = df.select(F.col("_metadata.file_path").alias("file"), long(1).alias("rows"), long(0).alias("pages"), long(0).alias("skipped"))
+    if zones is not None:
+        out = zones.filter(~page_may_match(op, literal)).select("file", long(0).alias("rows"), long(1).alias("pages"), F.col("row_count").alias("skipped"))
+        known = known.unionByName(out)
+    files = known.groupBy("file").agg(*[F.sum(c).alias(c) for c in ("rows", "pages", "skipped")]).filter("rows > 0")
+    sums = files.agg(
+        F.coalesce(F.sum(F.ceil(F.col("rows") / page_rows)), long(0)).alias("pages_total"),
+        F.coalesce(F.sum("pages"), long(0)).alias("pages_skipped"),
+        F.coalesce(F.sum(F.col("rows") - F.col("skipped")), long(0)).alias("rows_scanned"),
     )
     # one row each, added up
     kept = matches.agg(F.count(F.lit(1)).alias("rows_kept"))
