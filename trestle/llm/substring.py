@@ -121,7 +121,7 @@ def pack(docs: DataFrame, width: int, mer: int, buckets: int, common=None) -> Da
     """Blobs of super-k-mers by bucket; in buckets below 0, word ranges (doc, key, start, end) that are settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=7)
         flags = None if common is None else common.value
         for batch in W.chunks(batches, size=CHUNK_BYTES):
             doc_id = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
