@@ -97,8 +97,8 @@ def link(messages: DataFrame) -> DataFrame:
     The join is by (conversation, hash); each quoting message takes the latest writer before it by a running maximum over stretches
     of turns, so neither a hash that very many messages share nor a conversation of very many turns makes pairs or a task of its own.
     """
-    # parsed once: the table is read for the links and for the texts
-    base = shared.table(parts(messages), "messages")
+    # parsed once: the table is read for the links and for the texts, of which only what the message itself says is needed
+    base = shared.table(parts(messages).drop("text"), "messages")
     # written and quoted hashes in one pass: those that nobody quotes end in the window
     written = F.transform("own_hashes", lambda h: F.struct(F.lit(0).alias("level"), h.alias("hash"), F.lit(0).alias("kind"), F.lit(0).alias("length")))
     both = base.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(F.concat(written, "quotes")).alias("q")).select("conv_id", "turn", "q.hash", "q.level", "q.kind", "q.length").distinct()
